@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_bpe import op1_bpe
+from .op2_quality_rules import op2_quality_rules
+from .op3_suffix_dedup import op3_suffix_dedup
 from .op5_exact_dedup import ORACLE as EXACT_DEDUP
 from .op5_exact_dedup import op5_exact_dedup
+from .op6_minhash import op6_minhash
 from .op9_url_filters import ORACLE as URL_FILTERS
 from .op9_url_filters import op9_url_filters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op5_exact_dedup, op9_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_suffix_dedup, op5_exact_dedup, op6_minhash, op9_url_filters)
+}
 ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT_DEDUP, "op9_url_filters": URL_FILTERS}
