@@ -35,7 +35,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 #: The rules are replicated to every shard and folded in one row, so their number is bounded.
-MAX_RULES = 100_000
+MAX_RULES = 10_000
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -55,8 +55,9 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
 def rule_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are replicated")
-    rows = [(i, verdict, host, path) for i, (verdict, host, path) in enumerate(rules)]
-    df = spark.createDataFrame(rows, "rule_id int, verdict string, host string, path string")
+    rows = [F.struct(F.lit(i).alias("rule_id"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for i, (v, h, p) in enumerate(rules)]
+    none = F.from_json(F.lit("[]"), "array<struct<rule_id:int,verdict:string,host:string,path:string>>")
+    df = spark.range(1).select(F.inline(F.array(*rows) if rows else none))
     return df.select("*", F.expr(f"concat(path, '\\t', {reversed_host('host')})").alias("lo")).withColumn(
         "hi", F.expr("concat(substring(lo, 1, length(lo) - 1), '/')")
     )
