@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,31 @@ from pyspark.sql import Window
 from pyspark.sql.functions import arrow_udf
 
 from .common import content, materialize, table
-from .op1_bpe import load, vocabulary_path
+from .op1_bpe import WordBPE, byte_symbols, vocabulary_path
 
 CAPACITY, GRAIN, PARTS = 2048, 32, 4
 END = (0).to_bytes(4, "little")
 
 
+class LibraryBPE(WordBPE):
+    """The same text rules and word cache, with new words merged by the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.symbol = {b: ord(c) for b, c in enumerate(byte_symbols())}
+
+    def merge(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.symbol))]
+
+
+@lru_cache(maxsize=4)
+def load(path: str) -> LibraryBPE:
+    return LibraryBPE(path)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: where each document's ids are cut."""
     kind = docs.schema[id_col].dataType.simpleString()

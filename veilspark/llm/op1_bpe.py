@@ -16,25 +16,27 @@ column of the same name is replaced.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import types as T
 
-from .common import content, table
+from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept per worker; about 90 MB.
-CACHE_WORDS = 400_000
+#: Words kept per worker; about 60 MB.
+CACHE_WORDS = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -67,6 +69,13 @@ def newer_letters(pattern: str):
     return re.compile(f"[{min(newer)}-\U0010ffff]").search, regex.compile(pattern, regex.V1).findall
 
 
+def latin_words(pattern: str):
+    """The same findall for texts of the first 256 characters only, where plain character sets do."""
+    sets = {k: "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    blank = r"\t-\r\x20\x85\xa0"
+    return re.compile(pattern.replace(r"\p{White_Space}", blank).replace(r"\p{L}", sets["L"]).replace(r"\p{N}", sets["N"])).findall
+
+
 class WordBPE(dict):
     """Word -> its ids as little-endian 32-bit bytes, filled as words are met."""
 
@@ -81,7 +90,9 @@ class WordBPE(dict):
         vocab = model["vocab"]
         self.end = model["end_of_word_suffix"]
         skip = len(model["continuing_subword_prefix"] or "")
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b[skip:]]) for rank, (a, b) in enumerate(model["merges"])}
+        #: Rank by pair, a pair as one number; and the symbol that a merge of each rank makes.
+        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(model["merges"])}
+        self.made = [vocab[a + b[skip:]] for a, b in model["merges"]]
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.end] for s in symbols]
@@ -89,52 +100,58 @@ class WordBPE(dict):
         pattern = pattern.replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern).findall
         self.newer, self.older_words = newer_letters(pattern)
+        self.latin_words = latin_words(pattern)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = {s: np.int32(i).tobytes() for s, i in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.names = [""] * (1 + max([*vocab.values(), *special.values()]))
         for s, i in [*vocab.items(), *special.items()]:
             self.names[i] = s
+        self.strings = pa.array(self.names)
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
-        ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        n = len(ids)
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        n, rank_of = len(ids), self.ranks.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        merges, queue = self.merges, []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(queue)
+        # an entry is rank << 32 | place of the left symbol
+        queue = [rank << 32 | i for i in range(n - 1) if (rank := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        heapify(queue)
         while queue:
-            _, i, a, b, made = heapq.heappop(queue)
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if j < 0 or ids[i] < 0 or rank_of(ids[i] << 32 | ids[j]) != entry >> 32:
                 continue  # stale: a neighbour has merged since this entry was made
-            ids[i], ids[j] = made, -1
+            ids[i] = made = self.made[entry >> 32]
+            ids[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (found[0], i, made, ids[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], made))):
-                heapq.heappush(queue, (found[0], h, ids[h], made, found[1]))
+                if (rank := rank_of(made << 32 | ids[k])) is not None:
+                    heappush(queue, rank << 32 | i)
+            if (h := before[i]) >= 0 and (rank := rank_of(ids[h] << 32 | made)) is not None:
+                heappush(queue, rank << 32 | h)
         return [x for x in ids if x >= 0]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.merge(word), dtype="<i4").tobytes()
+        ids = array("i", self.merge(word)).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # each letter alone: a final sigma is not told apart
             if self.newer(text := text.lower()):
                 return b"".join(map(self.__getitem__, self.older_words(text)))
-        return b"".join(map(self.__getitem__, self.words(text.lower())))
+            return b"".join(map(self.__getitem__, self.words(text)))
+        return b"".join(map(self.__getitem__, self.latin_words(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian 32-bit bytes."""
@@ -144,42 +161,53 @@ class WordBPE(dict):
             return self._plain(text)
         return b"".join(self.special[x] if x in self.special else self._plain(x) for x in self.cut(text) if x)
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.names.__getitem__, ids))
-
 
 @lru_cache(maxsize=4)
 def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+def _with(frame: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in frame.schema.fields if f.name != name] + [T.StructField(name, kind)])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches, so that a worker holds little besides its cache."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _put(part: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    kept = [n for n in part.schema.names if n != name]
+    return pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), column], names=[*kept, name])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of each whole text as array<int>."""
 
-    @arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            parts = [bpe.encode(x.as_py()) for x in batch]
-            ends = np.cumsum([0, *(len(x) // 4 for x in parts)], dtype=np.int64)
-            if ends[-1] >= 2**31:
-                raise ValueError("one batch holds over 2^31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
-            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+        for part in _slices(batches):
+            ids = [bpe.encode(x.as_py() or "") for x in part.column(text_col)]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            yield _put(part, ids_col, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat))
 
-    return docs.withColumn(ids_col, run(content(text_col)))
+    return docs.mapInArrow(run, _with(docs, ids_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(frame: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """frame with the text of each array of ids."""
 
-    @arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = load(path)
-        for batch in batches:
-            yield pa.array([bpe.decode(x.values.to_pylist()) if x.is_valid else "" for x in batch], pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = load(path).strings
+        for part in _slices(batches):
+            ids = part.column(ids_col).fill_null([])
+            names = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), strings.take(ids.flatten()))
+            yield _put(part, text_col, pc.binary_join(names, " "))
 
-    return frame.withColumn(text_col, run(F.col(ids_col)))
+    return frame.mapInArrow(run, _with(frame, text_col, T.StringType()))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
