@@ -1,0 +1,94 @@
+"""Order-dependent detectors: adaptive windowing and Page-Hinkley."""
+
+from __future__ import annotations
+
+import math
+
+
+class Adwin:
+    """A window that grows while its mean is steady and loses its old part where two parts differ.
+
+    An exponential histogram: rows of at most ``per_row`` buckets, a bucket of row i summing up 2^i values. Every ``clock`` values the
+    cuts between buckets, newest part first, are tested by the bound for means of sub-windows of ``least`` values or more."""
+
+    def __init__(self, delta: float = 0.002, per_row: int = 5, clock: int = 32, shortest: int = 10, least: int = 5):
+        self.delta, self.per_row, self.clock, self.shortest, self.least = delta, per_row, clock, shortest, least
+        self.rows: list[list[tuple[float, float]]] = [[]]  # (sum, squared deviations) of each bucket, oldest first
+        self.width, self.total, self.spread, self.seen, self.detections = 0, 0.0, 0.0, 0, 0
+
+    @property
+    def mean(self) -> float:
+        return self.total / self.width if self.width else 0.0
+
+    def add(self, x: float) -> bool:
+        """Takes a value; whether the window was cut."""
+        self.seen += 1
+        if self.width:
+            self.spread += self.width * (x - self.mean) ** 2 / (self.width + 1)
+        self.width += 1
+        self.total += x
+        self.rows[0].append((x, 0.0))
+        for i, row in enumerate(self.rows):
+            if len(row) <= self.per_row:
+                break
+            (s1, v1), (s2, v2) = row.pop(0), row.pop(0)
+            n = 1 << i
+            if i + 1 == len(self.rows):
+                self.rows.append([])
+            self.rows[i + 1].append((s1 + s2, v1 + v2 + n * n * (s1 / n - s2 / n) ** 2 / (2 * n)))
+        return self.seen % self.clock == 0 and self.width > self.shortest and self._shrink()
+
+    def _shrink(self) -> bool:
+        cut = False
+        while self.width > self.shortest and self._differs():
+            cut = True
+            self._drop()
+        self.detections += cut
+        return cut
+
+    def _differs(self) -> bool:
+        n0, s0 = 0, 0.0
+        d = math.log(2 * math.log(self.width) / self.delta)
+        v = self.spread / self.width
+        for i in range(len(self.rows) - 1, -1, -1):
+            for s, _ in self.rows[i]:
+                n0, s0 = n0 + (1 << i), s0 + s
+                n1 = self.width - n0
+                if n1 < self.least:
+                    return False
+                if n0 < self.least:
+                    continue
+                m = 1 / (n0 - self.least + 1) + 1 / (n1 - self.least + 1)
+                if abs(s0 / n0 - (self.total - s0) / n1) > math.sqrt(2 * m * v * d) + 2 / 3 * d * m:
+                    return True
+        return False
+
+    def _drop(self) -> None:
+        while not self.rows[-1]:
+            self.rows.pop()
+        i = len(self.rows) - 1
+        s, v = self.rows[i].pop(0)
+        n = 1 << i
+        self.width -= n
+        self.total -= s
+        if self.width:
+            self.spread = max(0.0, self.spread - v - n * self.width * (s / n - self.mean) ** 2 / (n + self.width))
+        while len(self.rows) > 1 and not self.rows[-1]:
+            self.rows.pop()
+
+
+class PageHinkley:
+    """A faded running sum of deviations above the mean; a change restarts it."""
+
+    def __init__(self, delta: float = 0.005, threshold: float = 50.0, alpha: float = 0.9999):
+        self.delta, self.threshold, self.alpha = delta, threshold, alpha
+        self.n, self.mean, self.sum = 0, 0.0, 0.0
+
+    def add(self, x: float) -> bool:
+        self.n += 1
+        self.mean += (x - self.mean) / self.n
+        self.sum = self.sum * self.alpha + x - self.mean - self.delta
+        if self.sum > self.threshold:
+            self.n, self.mean, self.sum = 0, 0.0, 0.0
+            return True
+        return False
