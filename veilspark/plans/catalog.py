@@ -317,7 +317,10 @@ pairs AS (SELECT CASE WHEN size < 48 THEN c * 192 + size - j + 1 WHEN j <= 48 TH
   CASE WHEN size < 48 THEN n WHEN j <= 48 THEN c * 192 + 48 ELSE pos END AS publish_time, CASE WHEN size < 48 THEN 1 WHEN diverse THEN 0 ELSE 2 END AS status, c AS cluster,
   CASE WHEN f >= o AND f >= p THEN 'F' WHEN o >= p THEN 'O' ELSE 'P' END AS majority, s AS sensitive, x AS o_totalprice,
   CASE WHEN size >= 48 AND diverse THEN floor(cen * 10000 + 0.5) / 10000 ELSE 300000.0 END AS anon FROM v)"""
-_DIST = F.abs(F.col("o_totalprice") - F.col("anon_o_totalprice")) / 600000.0
+
+
+def _dist():
+    return F.abs(F.col("o_totalprice") - F.col("anon_o_totalprice")) / 600000.0
 
 
 def pairs(spark: SparkSession, d: str, cfg: AnonymizerConfig = FLAGSHIP) -> DataFrame:
@@ -337,7 +340,7 @@ def publish_status(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS n, round(avg(pow((o_totalprice - anon) / 600000.0, 2)), 9) AS mse FROM pairs")
 def mse(spark, d):
-    return M.mse(pairs(spark, d), _DIST)
+    return M.mse(pairs(spark, d), _dist())
 
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS n, round(sum(abs(o_totalprice - anon)) / 1000, 3) AS sse FROM pairs")
@@ -347,13 +350,13 @@ def sse(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS n, round(avg(abs(o_totalprice - anon) / 600000.0) * 100, 6) AS relative_error FROM pairs")
 def relative_error_metric(spark, d):
-    return M.relative_error(pairs(spark, d), _DIST, 1)
+    return M.relative_error(pairs(spark, d), _dist(), 1)
 
 
 @query(f"""WITH {_PAIRS}, a AS (SELECT *, avg(o_totalprice) OVER () AS m FROM pairs) SELECT round(sum(pow((o_totalprice - anon) / 600000.0, 2)), 6) AS sse,
 round(sum(pow((o_totalprice - m) / 600000.0, 2)), 6) AS sst, round(sum(pow((o_totalprice - anon) / 600000.0, 2)) / sum(pow((o_totalprice - m) / 600000.0, 2)), 9) AS homogeneity FROM a""")
 def homogeneity(spark, d):
-    return M.homogeneity(pairs(spark, d), _DIST, "o_totalprice", 600000.0)
+    return M.homogeneity(pairs(spark, d), _dist(), "o_totalprice", 600000.0)
 
 
 @query(f"""WITH {_PAIRS} SELECT sum((status <> 0 OR sensitive <> majority)::INT)::BIGINT AS penalties, round(avg((status <> 0 OR sensitive <> majority)::INT), 9) AS classification_metric FROM pairs""")
@@ -397,7 +400,7 @@ _RUN = "OVER (ORDER BY pub_seq ROWS UNBOUNDED PRECEDING)"
 @query(f"""WITH {_PAIRS}, q AS (SELECT pub_seq AS time, round(avg(publish_time - pos) {_RUN}, 6) AS delay, round(avg(pow((o_totalprice - anon) / 600000.0, 2)) {_RUN}, 6) AS mse,
 round(avg((status <> 0 OR sensitive <> majority)::INT) {_RUN}, 6) AS penalty FROM pairs) SELECT * FROM q WHERE time % 100 = 0""")
 def metric_series(spark, d):
-    return M.series(pairs(spark, d), {"delay": F.col("publish_time") - F.col("pos"), "mse": _DIST * _DIST, "penalty": M.classification_penalty()})
+    return M.series(pairs(spark, d), {"delay": F.col("publish_time") - F.col("pos"), "mse": _dist() * _dist(), "penalty": M.classification_penalty()})
 
 
 def _sql_delay(k: int) -> str:
