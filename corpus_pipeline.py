@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import materialize, table
 from veilspark.llm.op2_quality_rules import keep_good
 from veilspark.llm.op3_suffix_dedup import remove_repeats
-from veilspark.llm.op5_exact_dedup import exact_dedup
+from veilspark.llm.op5_exact_dedup import keep_one
 from veilspark.llm.op6_minhash import near_duplicates
 from veilspark.llm.op10_packing import pack
 
@@ -24,20 +24,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows whose id is in ``dropped``; rows with a null id stay."""
-    gone = dropped.select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-
-
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, that of the largest id."""
-    return _without(docs, exact_dedup(docs).where("NOT kept"))
+    return keep_one(docs)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id."""
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")  # a row with a null id stays
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

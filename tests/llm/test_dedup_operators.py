@@ -38,6 +38,17 @@ def test_op5_is_native(spark, docs):
     assert not re.search("Python|Pandas|Arrow", plan.split("== Optimized")[1].replace("PythonRDD", "").replace("MapPartitionsRDD", "")) or "EvalPython" not in plan
 
 
+def test_keep_one_gives_the_rows_that_stay(spark, docs, empty):
+    got = op5_exact_dedup.keep_one(docs)
+    assert got.columns == docs.columns and op5_exact_dedup.keep_one(empty).count() == 0
+    last = {}
+    for r in rows():
+        if (r[1] or "") not in last or (r[0] if r[0] is not None else -1) > last[r[1] or ""]:
+            last[r[1] or ""] = r[0] if r[0] is not None else -1
+    found = {r["text"] or "": r["doc_id"] if r["doc_id"] is not None else -1 for r in got.collect()}
+    assert found == last and got.count() == len(last)
+
+
 def brute_near(table):
     az = {c: c + 32 for c in range(65, 91)}
     sets = {}

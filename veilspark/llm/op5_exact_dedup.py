@@ -47,6 +47,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """The rows that stay, with all their columns, straight from the same three stages: no row goes back to a join. Of repeated rows
+    with one id and text one stays."""
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").isNull().alias("none"))
+    rows = docs.select(row.alias("row"), content(f"`{text_col}`").alias("content"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    last = F.struct(f"row.c{others.index(id_col)}")  # a struct, so that a null id is the least
+    winners = rows.groupBy("digest", "salt", "content").agg(F.max_by("row", last).alias("row"))
+    whole = winners.groupBy("digest", "content").agg(F.max_by("row", last).alias("row"))
+    text = F.when(~F.col("row.none"), F.col("content")).alias(text_col)
+    return whole.select(*[text if c == text_col else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns])
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
