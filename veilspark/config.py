@@ -27,6 +27,7 @@ class AnonymizerConfig:
     drift_factor: float = 1.2
     confidence: float = 0.05
     suppress: str = "midpoint"
+    publisher: str = "centroid"  # or "random": every record gets a uniform draw of the domain and counts as published
     true_mean: bool = False
     floor_discrete: bool = False
     seed: int = 12345678

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AnonymizerConfig
+from ..config import AnonymizerConfig, sweep
 from ..functions import distance as D
 from ..functions import noise as N
 from ..functions import scalar as S
@@ -18,6 +18,7 @@ from ..operators import drift as C
 from ..operators import metrics as M
 from ..operators import neighbours as J
 from ..operators import ordering as O
+from ..operators import report as R
 from ..schema import NOMINAL, ORDINAL, Attribute, StreamSchema, numeric_stats
 from ..streaming import detectors
 from ..streaming.batch import anonymize
@@ -403,6 +404,41 @@ def metric_series(spark, d):
     return M.series(pairs(spark, d), {"delay": F.col("publish_time") - F.col("pos"), "mse": _dist() * _dist(), "penalty": M.classification_penalty()})
 
 
+_REPORT = """count(*) AS n, count(DISTINCT cluster) AS opened_clusters, count(*) FILTER (status = 1) AS suppressed_size, count(*) FILTER (status = 2) AS suppressed_diversity,
+round(avg(publish_time - pos), 3) AS avg_delay, round(avg(pow((o_totalprice - anon) / 600000.0, 2)), 9) AS mse, round(sum(abs(o_totalprice - anon)) / 1000, 3) AS sse_thousands,
+round(avg(abs(o_totalprice - anon) / 600000.0) * 100, 6) AS relative_error, round(avg((status <> 0 OR sensitive <> majority)::INT), 9) AS classification_metric FROM pairs"""
+
+
+def _report(spark, d, cfg, run_id):
+    return R.run_report(pairs(spark, d, cfg), cfg, _dist(), F.abs(F.col("o_totalprice") - F.col("anon_o_totalprice")), 1, run_id)
+
+
+@query(f"""WITH {_PAIRS} SELECT 'flagship' AS run_id, 48.0::DOUBLE AS k, 3.0::DOUBLE AS l, 2.0::DOUBLE AS c, 0.01::DOUBLE AS eps, NULL::DOUBLE AS delta, 144.0::DOUBLE AS buffer, 1.0::DOUBLE AS threshold, {_REPORT}""")
+def run_report(spark, d):
+    return _report(spark, d, FLAGSHIP, "flagship")
+
+
+@query(" UNION ALL ".join(f"""(WITH {_PAIRS.replace("192", str(4 * k)).replace("48", str(k))} SELECT 'k{k}_l3_eps0.01' AS run_id, {k}.0::DOUBLE AS k, {_REPORT})""" for k in (20, 50, 100)))
+def parameter_sweep(spark, d):
+    runs = [_report(spark, d, cfg, run_id).drop("l", "c", "eps", "delta", "buffer", "threshold") for run_id, cfg in sweep([20, 50, 100], [3], c=2.0).items()]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query()
+def classifier_comparison(spark, d):
+    """A naive Bayes learner on the original and on the published prices of each shard, and their agreement."""
+    o = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(8)).cast("string")).withColumn("month", F.month("o_orderdate").cast("double"))
+    anon = anonymize(o, ORDERS, AnonymizerConfig(k=20, threshold=0.1), "shard").select(F.col("seq").alias("o_orderkey"), F.col("anon_o_totalprice").alias("price"))
+    own = o.select("shard", "o_orderkey", F.col("o_totalprice").alias("price"), "month", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
+    shown = own.drop("price").join(anon, "o_orderkey").select(own.columns)
+    kinds = "shard string, o_orderkey bigint, actual string, pred string, score double"
+    guess = lambda df: C.fold_shards(df, "shard", "o_orderkey", ["price", "month", "y"], lambda: Prequential("naive_bayes", "high"), kinds)
+    return R.classifier_report(guess(own), guess(shown), ["shard", "o_orderkey"], "high", "naive_bayes")
+
+
+QUERIES["microagg_randomized"] = lambda spark, d: _kernel(AnonymizerConfig(k=20, threshold=0.15, publisher="random"), MIXED)(spark, d)
+
+
 def _sql_delay(k: int) -> str:
     return f"""(SELECT CASE WHEN size < {k} THEN c * {4 * k} + size - j + 1 WHEN j <= {k} THEN c * {4 * k} + {k} - j + 1 ELSE pos END AS pub_seq,
   CASE WHEN size < {k} THEN n WHEN j <= {k} THEN c * {4 * k} + {k} ELSE pos END - pos AS wait FROM (SELECT pos, n, (pos - 1) // {4 * k} AS c, (pos - 1) % {4 * k} + 1 AS j,

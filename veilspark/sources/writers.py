@@ -20,6 +20,18 @@ def write_pairs(pairs: DataFrame, schema: StreamSchema, path: str) -> None:
     write_csv(pairs.select("pub_seq", *[F.col(f"anon_{a.name}").alias(a.name) for a in schema.quasi], "sensitive"), f"{path}/anonymized", ["pub_seq"])
 
 
+def write_record_pairs(pairs: DataFrame, schema: StreamSchema, path: str) -> None:
+    """One line for each pair, both records as text, in publication order."""
+    anon = record_text(schema, lambda n: F.col(f"anon_{n}") if n != schema.sensitive.name else F.col("sensitive"))
+    own = record_text(schema, lambda n: F.col(n) if n != schema.sensitive.name else F.col("sensitive"))
+    write_csv(pairs.select("pub_seq", own.alias("original"), anon.alias("anonymized")), path, ["pub_seq"])
+
+
+def append_text(df: DataFrame, column: str, path: str) -> None:
+    """Adds lines to a text folder; also fits ``foreachBatch``."""
+    df.select(F.col(column).cast("string").alias("value")).write.mode("append").text(path)
+
+
 def write_series(series: DataFrame, path: str) -> None:
     """(run, time, metric): one folder for each run."""
     series.write.mode("append").partitionBy("run").option("header", True).csv(path)

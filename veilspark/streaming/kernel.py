@@ -148,6 +148,8 @@ class Anonymizer:
             status = TOO_SMALL
         else:
             status = PUBLISHED if recursive_diverse(g.sensitive, self.cfg.l, self.cfg.c) else NOT_DIVERSE
+        if self.cfg.publisher == "random":
+            status, shown = PUBLISHED, [self._random(i, g, seq) for i in range(len(self.schema.quasi))]
         values = shown if status == PUBLISHED else [self._suppressed(i, g, seq) for i in range(len(self.schema.quasi))]
         return (seq, time, self.published, g.id, status, tuple(self._typed(a, v) for a, v in zip(self.schema.quasi, values)))
 
@@ -193,16 +195,22 @@ class Anonymizer:
         past.append(now)
         return shown
 
+    def _random(self, i: int, g: Group, seq: int):
+        a = self.schema.quasi[i]
+        if a.kind == NUMERIC:
+            return a.lo + self._uniform("s", seq, i) * a.span
+        values = a.values or tuple(sorted(g.counts[i]))
+        return values[int(self._uniform("s", seq, i) * len(values))]
+
     def _suppressed(self, i: int, g: Group, seq: int):
         a = self.schema.quasi[i]
         if a.kind != NUMERIC:
-            values = a.values or tuple(sorted(g.counts[i]))
-            return values[int(self._uniform("s", seq, i) * len(values))]
+            return self._random(i, g, seq)
         if self.cfg.suppress == "midpoint":
             return (a.lo + a.hi) / 2
         held = [r[1][i] for r in (g.window or g.before or [])]
         if self.cfg.suppress == "uniform" or not held:
-            return a.lo + self._uniform("s", seq, i) * a.span
+            return self._random(i, g, seq)
         step = float(np.std(held)) * len(held) ** -0.2 * self._normal("s", seq, i, "step")
         return min(max(held[int(self._uniform("s", seq, i, "at") * len(held))] + step, a.lo), a.hi)
 
