@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.config import AnonymizerConfig, sweep
 from veilspark.functions import noise as N
 from veilspark.functions import scalar as S
-from veilspark.operators import agreement, aggregates, drift, metrics, neighbours, ordering
+from veilspark.operators import agreement, aggregates, drift, metrics, neighbours, ordering, report
 from veilspark.plans.catalog import EVENTS, MIXED, ORACLES, QUERIES
 from veilspark.plans.single_cluster import single_cluster
 from veilspark.schema import NOMINAL, ORDINAL, Attribute, StreamSchema
@@ -116,6 +116,12 @@ def test_gap_and_late_rows():
     assert kernel.step(4, (5.0,), "b")[0][4] == 3 and kernel.opened == 2
 
 
+def test_randomized_publisher_counts_all_as_published():
+    kernel = Anonymizer(BOTH, AnonymizerConfig(k=4, threshold=0.5, publisher="random"))
+    got = [x for r in stream(50) for x in kernel.step(r[0], (r[1], r[2]), r[3])] + kernel.flush()
+    assert len(got) == 50 and {x[4] for x in got} == {0} and len({x[5][0] for x in got}) == 50
+
+
 def test_floored_centroids_and_drift_reset():
     a = Attribute("x", discrete=True, lo=0, hi=100)
     kernel = Anonymizer(StreamSchema("seq", (a,), SCHEMA.sensitive), AnonymizerConfig(k=100, threshold=2.0, floor_discrete=True))
@@ -173,6 +179,12 @@ def test_writers(spark, tmp_path):
     pairs = df.select(F.col("seq").alias("pub_seq"), "x", "c", F.col("s").alias("sensitive"), F.col("x").alias("anon_x"), F.col("c").alias("anon_c"))
     writers.write_pairs(pairs, BOTH, f"{tmp_path}/pairs")
     assert spark.read.option("header", True).csv(f"{tmp_path}/pairs/anonymized").columns == ["pub_seq", "x", "c", "sensitive"]
+    writers.write_record_pairs(pairs, BOTH, f"{tmp_path}/record_pairs")
+    assert {r["anonymized"] for r in spark.read.option("header", True).csv(f"{tmp_path}/record_pairs").collect()} == {"0.2500,u,a", "1.5000,v,b"}
+    writers.append_text(df, "c", f"{tmp_path}/text")
+    writers.append_text(df, "c", f"{tmp_path}/text")
+    assert spark.read.text(f"{tmp_path}/text").count() == 4
+    assert report.aligned(df, df.select("seq", "x"), "seq").where("anon_x = x").count() == 2
     writers.write_series(spark.createDataFrame([("k1", 100, 0.5), ("k2", 100, 0.7)], "run string, time bigint, metric double"), f"{tmp_path}/series")
     found = readers.read_series(spark, f"{tmp_path}/series/*")
     assert metrics.compare(found, "run", ["k1", "k2"], "metric").first().asDict() == {"time": 100, "k1": 0.5, "k2": 0.7}
