@@ -35,8 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/veilspark-{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, with its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilspark-{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
