@@ -48,7 +48,7 @@ def counters(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), flag(0).alias("published"), flag(1).alias("suppressed_size"), flag(2).alias("suppressed_diversity"), F.countDistinct("cluster").alias("opened_clusters"))
 
 
-def _risk(met: DataFrame, n: int) -> DataFrame:
+def _risk(met: DataFrame) -> DataFrame:
     """From (pub_seq, d, own): the share 1 / ties of the records that are among the nearest to their own anonymized value."""
     best = met.groupBy("pub_seq").agg(F.min("d").alias("best"))
     ties = met.join(best, "pub_seq").where("d = best").groupBy("pub_seq").agg(F.count("*").alias("ties"), F.max("own").alias("hit"))
@@ -57,10 +57,14 @@ def _risk(met: DataFrame, n: int) -> DataFrame:
 
 def disclosure_anchor(pairs: DataFrame, x: str, anon: str, anchors: int = 99) -> DataFrame:
     """Risk of each record against the first ``anchors`` published originals and its own."""
-    first = pairs.where(F.col("pub_seq") <= anchors).select(F.col("pub_seq").alias("a_seq"), F.col(x).alias("a_x"))
+    first = pairs.where(F.col("pub_seq") <= anchors).agg(F.collect_list(F.struct("pub_seq", F.col(x).alias("x"))).alias("first"))
     every = pairs.select("pub_seq", F.col(x).alias("x"), F.col(anon).alias("anon"))
-    met = every.join(F.broadcast(first), F.col("a_seq") < F.col("pub_seq")).select("pub_seq", F.abs(F.col("anon") - F.col("a_x")).alias("d"), F.lit(0).alias("own"))
-    return _risk(met.unionByName(every.select("pub_seq", F.abs(F.col("anon") - F.col("x")).alias("d"), F.lit(1).alias("own"))), anchors)
+    met = every.join(F.broadcast(first), how="cross")  # one row of at most ``anchors`` values: no record is copied or moved
+    far = F.transform(F.filter("first", lambda a: a["pub_seq"] < F.col("pub_seq")), lambda a: F.abs(F.col("anon") - a["x"]))
+    met = met.select("pub_seq", far.alias("far"), F.abs(F.col("anon") - F.col("x")).alias("own"))
+    met = met.withColumn("best", F.least(F.array_min("far"), "own"))
+    ties = F.size(F.filter("far", lambda v: v == F.col("best"))) + (F.col("own") == F.col("best")).cast("int")
+    return met.select("pub_seq", ties.cast("bigint").alias("ties"), F.when(F.col("own") == F.col("best"), 1 / ties).otherwise(0.0).alias("risk"))
 
 
 def disclosure_sliding(pairs: DataFrame, x: str, anon: str, width: int = 100) -> DataFrame:
@@ -70,7 +74,7 @@ def disclosure_sliding(pairs: DataFrame, x: str, anon: str, width: int = 100) ->
     left = every.withColumn("block", F.explode(F.array(block, block - 1)))
     right = every.select(F.col("pub_seq").alias("a_seq"), F.col("x").alias("a_x"), block.alias("block"))
     met = left.join(right, "block").where((F.col("a_seq") <= F.col("pub_seq")) & (F.col("a_seq") > F.col("pub_seq") - width))
-    return _risk(met.select("pub_seq", F.abs(F.col("anon") - F.col("a_x")).alias("d"), (F.col("a_seq") == F.col("pub_seq")).cast("int").alias("own")), width)
+    return _risk(met.select("pub_seq", F.abs(F.col("anon") - F.col("a_x")).alias("d"), (F.col("a_seq") == F.col("pub_seq")).cast("int").alias("own")))
 
 
 def series(pairs: DataFrame, values: dict[str, Column], every: int = 100) -> DataFrame:
