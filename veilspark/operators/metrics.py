@@ -48,11 +48,14 @@ def counters(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), flag(0).alias("published"), flag(1).alias("suppressed_size"), flag(2).alias("suppressed_diversity"), F.countDistinct("cluster").alias("opened_clusters"))
 
 
-def _risk(met: DataFrame) -> DataFrame:
-    """From (pub_seq, d, own): the share 1 / ties of the records that are among the nearest to their own anonymized value."""
-    best = met.groupBy("pub_seq").agg(F.min("d").alias("best"))
-    ties = met.join(best, "pub_seq").where("d = best").groupBy("pub_seq").agg(F.count("*").alias("ties"), F.max("own").alias("hit"))
-    return ties.select("pub_seq", "ties", F.when(F.col("hit") == 1, 1 / F.col("ties")).otherwise(0.0).alias("risk"))
+def _risk(met: DataFrame, others: Column) -> DataFrame:
+    """The share 1 / ties of the records that are among the nearest originals to their own anonymized value: met has pub_seq, x, anon;
+    others is an array of (pub_seq, x)."""
+    far = F.transform(others, lambda a: F.abs(F.col("anon") - a["x"]))
+    met = met.select("pub_seq", far.alias("far"), F.abs(F.col("anon") - F.col("x")).alias("own"))
+    met = met.withColumn("best", F.least(F.array_min("far"), "own"))
+    ties = F.size(F.filter("far", lambda v: v == F.col("best"))) + (F.col("own") == F.col("best")).cast("int")
+    return met.select("pub_seq", ties.cast("bigint").alias("ties"), F.when(F.col("own") == F.col("best"), 1 / ties).otherwise(0.0).alias("risk"))
 
 
 def disclosure_anchor(pairs: DataFrame, x: str, anon: str, anchors: int = 99) -> DataFrame:
@@ -60,21 +63,18 @@ def disclosure_anchor(pairs: DataFrame, x: str, anon: str, anchors: int = 99) ->
     first = pairs.where(F.col("pub_seq") <= anchors).agg(F.collect_list(F.struct("pub_seq", F.col(x).alias("x"))).alias("first"))
     every = pairs.select("pub_seq", F.col(x).alias("x"), F.col(anon).alias("anon"))
     met = every.join(F.broadcast(first), how="cross")  # one row of at most ``anchors`` values: no record is copied or moved
-    far = F.transform(F.filter("first", lambda a: a["pub_seq"] < F.col("pub_seq")), lambda a: F.abs(F.col("anon") - a["x"]))
-    met = met.select("pub_seq", far.alias("far"), F.abs(F.col("anon") - F.col("x")).alias("own"))
-    met = met.withColumn("best", F.least(F.array_min("far"), "own"))
-    ties = F.size(F.filter("far", lambda v: v == F.col("best"))) + (F.col("own") == F.col("best")).cast("int")
-    return met.select("pub_seq", ties.cast("bigint").alias("ties"), F.when(F.col("own") == F.col("best"), 1 / ties).otherwise(0.0).alias("risk"))
+    return _risk(met, F.filter("first", lambda a: a["pub_seq"] < F.col("pub_seq")))
 
 
 def disclosure_sliding(pairs: DataFrame, x: str, anon: str, width: int = 100) -> DataFrame:
-    """Risk of each record against the last ``width`` published originals, its own included: an equi-join on blocks of ``width`` places."""
-    every = pairs.select("pub_seq", F.col(x).alias("x"), F.col(anon).alias("anon"))
-    block = F.floor(F.col("pub_seq") / width)
-    left = every.withColumn("block", F.explode(F.array(block, block - 1)))
-    right = every.select(F.col("pub_seq").alias("a_seq"), F.col("x").alias("a_x"), block.alias("block"))
-    met = left.join(right, "block").where((F.col("a_seq") <= F.col("pub_seq")) & (F.col("a_seq") > F.col("pub_seq") - width))
-    return _risk(met.select("pub_seq", F.abs(F.col("anon") - F.col("a_x")).alias("d"), (F.col("a_seq") == F.col("pub_seq")).cast("int").alias("own")))
+    """Risk of each record against the last ``width`` published originals, its own included: each block of ``width`` places is one array,
+    and a record meets its own block's and the one before."""
+    every = pairs.select("pub_seq", F.col(x).alias("x"), F.col(anon).alias("anon"), F.floor(F.col("pub_seq") / width).alias("block"))
+    held = every.groupBy("block").agg(F.collect_list(F.struct("pub_seq", "x")).alias("now"))
+    before = held.select((F.col("block") + 1).alias("block"), F.col("now").alias("before"))
+    met = every.join(held.join(before, "block", "left"), "block")
+    near = lambda a: (a["pub_seq"] < F.col("pub_seq")) & (a["pub_seq"] > F.col("pub_seq") - width)
+    return _risk(met, F.filter(F.concat("now", F.coalesce("before", F.filter("now", lambda a: F.lit(False)))), near))
 
 
 def series(pairs: DataFrame, values: dict[str, Column], every: int = 100) -> DataFrame:
