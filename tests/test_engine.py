@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from veilspark.config import AnonymizerConfig, sweep
 from veilspark.functions import noise as N
 from veilspark.functions import scalar as S
-from veilspark.operators import agreement, aggregates, drift, metrics, neighbours, ordering, report
+from veilspark.operators import agreement, aggregates, drift, metrics, neighbours, ordering, report, smoothing
 from veilspark.plans.catalog import EVENTS, MIXED, ORACLES, QUERIES
 from veilspark.plans.single_cluster import single_cluster
 from veilspark.schema import NOMINAL, ORDINAL, Attribute, StreamSchema
 from veilspark.sources import readers, writers
 from veilspark.streaming.batch import anonymize
+from veilspark.streaming.buffered import nearest_groups
 from veilspark.streaming.detectors import Adwin, PageHinkley
 from veilspark.streaming.kernel import Anonymizer
 from veilspark.streaming.learners import LEARNERS, Prequential
@@ -282,3 +283,19 @@ def test_diversity_and_kappa_edges(spark):
 
 def test_catalog_is_whole():
     assert set(ORACLES) <= set(QUERIES) and len(ORACLES) >= 50
+
+
+def test_lowess_follows_a_line_and_smooths_noise(spark):
+    x = np.arange(200.0)
+    assert np.allclose(smoothing.lowess(x, 3 * x + 1), 3 * x + 1)
+    noisy = np.sin(x / 30) + np.random.default_rng(1).normal(0, 0.3, 200)
+    assert np.abs(smoothing.lowess(x, noisy, 0.15) - np.sin(x / 30)).mean() < 0.12
+    assert smoothing.lowess(np.array([1.0]), np.array([2.0])).tolist() == [2.0]
+    assert smoothing.timed(spark, lambda: None).first()["took"].startswith("00:00:00")
+
+
+def test_buffered_groups():
+    r = np.random.default_rng(2)
+    for n in (1, 9, 10, 19, 20, 57):
+        sizes = Counter(nearest_groups(r.random((n, 2)), 10).tolist())
+        assert sum(sizes.values()) == n and all(10 <= s < 20 for s in sizes.values()) or n < 10

@@ -19,9 +19,11 @@ from ..operators import metrics as M
 from ..operators import neighbours as J
 from ..operators import ordering as O
 from ..operators import report as R
+from ..operators.smoothing import smoothed
 from ..schema import NOMINAL, ORDINAL, Attribute, StreamSchema, numeric_stats
 from ..streaming import detectors
 from ..streaming.batch import anonymize
+from ..streaming.buffered import knn_anonymize
 from ..streaming.learners import Prequential
 from .single_cluster import single_cluster
 
@@ -659,19 +661,46 @@ QUERIES["microagg_noisy"] = _kernel(AnonymizerConfig(k=20, threshold=0.3, noise=
 QUERIES["microagg_gap"] = _kernel(AnonymizerConfig(k=20, threshold=0.15, delta=2000, gap=True, drift="centroid", noise="one_sided", sensitivity="observed", suppress="uniform"), MIXED)
 
 
-@query("""WITH o AS (SELECT o_custkey % 16 AS g, row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) AS pos, o_orderkey AS seq, o_totalprice AS x, o_orderstatus AS s FROM orders),
+_ONE_GROUP = """WITH o AS (SELECT o_custkey % 16 AS g, row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) AS pos, o_orderkey AS seq, o_totalprice AS x, o_orderstatus AS s FROM orders),
 m AS (SELECT *, (pos - 1) // 192 AS c, (pos - 1) % 192 + 1 AS j, count(*) OVER (PARTITION BY g, (pos - 1) // 192) AS size FROM o),
 u AS (SELECT g, c, j, seq AS at, (first_value(x) OVER w + sum(x) OVER w) / (j + 1) AS cen, sum((s = 'F')::INT) OVER w AS f, sum((s = 'O')::INT) OVER w AS o, sum((s = 'P')::INT) OVER w AS p
   FROM m WINDOW w AS (PARTITION BY g, c ORDER BY j ROWS UNBOUNDED PRECEDING)),
 h AS (SELECT *, CASE WHEN size < 48 THEN size ELSE greatest(j, 48) END AS r FROM m)
 SELECT CAST(h.g AS VARCHAR) AS shard, seq, c.at AS publish_time, h.c AS cluster, CASE WHEN size < 48 THEN 1 WHEN greatest(f, o, p) < CAST(2 AS DOUBLE) * least(f, o, p) AND least(f, o, p) > 0 THEN 0 ELSE 2 END AS status,
 round(CASE WHEN size >= 48 AND greatest(f, o, p) < CAST(2 AS DOUBLE) * least(f, o, p) AND least(f, o, p) > 0 THEN cen ELSE 300000 END + 1e-6, 3) AS anon
-FROM h JOIN u c ON c.g = h.g AND c.c = h.c AND c.j = h.r""")
+FROM h JOIN u c ON c.g = h.g AND c.c = h.c AND c.j = h.r"""
+
+
+@query(_ONE_GROUP)
 def microagg_exact_one_group(spark, d):
     """The kernel where no distance exceeds the threshold, which SQL can follow."""
     out = _kernel(AnonymizerConfig(k=48, l=3, c=2.0, threshold=2.0), ORDERS)(spark, d)
     return out.select("shard", "seq", "publish_time", "cluster", "status", F.round(F.col("anon_o_totalprice") + 1e-6, 3).alias("anon"))
 
 
+@query(_ONE_GROUP)
+def microagg_stream(spark, d):
+    """The same through the streaming form, with a restart from its checkpoint half-way."""
+    from ..streaming.stream import replay
+
+    rows = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(16)))
+    out = replay(rows, ORDERS, AnonymizerConfig(k=48, l=3, c=2.0, threshold=2.0), "shard")
+    return out.select("shard", "seq", "publish_time", "cluster", "status", F.round(F.col("anon_o_totalprice") + 1e-6, 3).alias("anon"))
+
+
+@query()
+def microagg_buffered(spark, d):
+    """The buffered nearest-neighbour baseline."""
+    schema = StreamSchema("o_orderkey", (PRICE, CUSTOMER), ORDERS.sensitive)
+    return knn_anonymize(orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(16))), schema, 20, 200, 1.0, "shard")
+
+
+@query()
+def series_smoothed(spark, d):
+    """Running metrics with their smoothed values."""
+    held = metric_series(spark, d).withColumn("run", F.lit("flagship"))
+    return smoothed(held, "run", "mse")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return microagg_single_cluster(spark, d)
