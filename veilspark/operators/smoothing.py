@@ -52,4 +52,5 @@ def timed(spark: SparkSession, run: Callable[[], object]) -> DataFrame:
     """Runs an action; one row with its seconds and their text."""
     began = time.monotonic()
     run()
-    return spark.range(1).select(F.lit(time.monotonic() - began).alias("seconds")).select("seconds", duration(F.col("seconds")).alias("took"))
+    took = time.monotonic() - began
+    return spark.range(1).select(F.lit(took).alias("seconds")).select("seconds", duration(F.col("seconds")).alias("took"))
