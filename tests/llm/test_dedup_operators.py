@@ -33,9 +33,9 @@ def test_op5(spark, docs, empty, table_dir):
     assert op5_exact_dedup.op5_exact_dedup(spark, table_dir(documents=empty)).count() == 0
 
 
-def test_op5_is_native(spark, docs):
-    plan = op5_exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan.split("== Optimized")[1].replace("PythonRDD", "").replace("MapPartitionsRDD", "")) or "EvalPython" not in plan
+def test_op5_is_native(spark, docs, table_dir):
+    plan = op5_exact_dedup.op5_exact_dedup(spark, table_dir(documents=docs))._jdf.queryExecution().toString()
+    assert "Aggregate" in plan and not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
 
 
 def test_keep_one_gives_the_rows_that_stay(spark, docs, empty):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -14,7 +15,7 @@ import corpus_pipeline
 from veilspark.llm import op1_bpe, op2_quality_rules, op7_warc, op9_url_filters, op10_packing
 from veilspark.llm.common import workspace
 
-from .conftest import CLASHES, prose, rows
+from .conftest import prose, rows
 from .test_dedup_operators import brute_near, brute_spans
 from .test_text_operators import stats
 
@@ -28,8 +29,6 @@ def page_rows():
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    extra = CLASHES.replace("content string, ", "").count(",") + 1
-    del extra
     return spark.createDataFrame([(*r, "x", 1, None) for r in page_rows()], "page_id bigint, url string, html string, sha string, shard int, first string").repartition(3)
 
 
@@ -82,6 +81,11 @@ def test_op9(spark, pages, rules):
     assert op9_url_filters.judge(pages.limit(0), rules).count() == 0
 
 
+def test_op9_is_native(spark, pages, table_dir):
+    plan = op9_url_filters.op9_url_filters(spark, table_dir(pages=pages))._jdf.queryExecution().toString()
+    assert "Window" in plan and not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
 def test_op9_nested_rules_at_random(spark):
     r = random.Random(2)
     hosts = [".".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(300)]
