@@ -10,7 +10,8 @@ must meet in one bucket, and buckets must stay small however large the corpus:
    groups of ``STEP`` neighbouring starts and by the content that all of a group share, and equal texts are combined before they travel.
 3. *Sorting*: each task takes bucket after bucket, in blocks of bounded size, and sorts their suffixes by difference
    cover (see ``suffixes``). Neighbours that agree over LENGTH bytes are repeated strings.
-4. The spans go back to their documents.
+4. The spans go back to their texts, and from there to all rows with that text. Copies of a whole text are counted before
+   anything travels: such a text goes wholly, and one of it serves the comparison with others.
 
 Defined results: null text counts as empty; texts shorter than LENGTH bytes are never cut; repeated rows remove each other's
 bytes wholly; matches never cross documents; an empty table gives no rows; other columns stay as they are. ``remove_repeats`` returns
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import content, materialize, table
-from .suffixes import repeated
+from .suffixes import repeated, repeated_pairs
 
 LENGTH, GRAM = 200, 48
 #: Places of an anchor hash in the corpus beyond which its bucket is split, and the starts in one group of a split bucket.
-HOT, STEP = 2000, 8
+HOT, STEP = 2000, 16
 #: Bytes of text hashed at a time, and of context sorted at a time.
 CHUNK, BLOCK = 1 << 17, 1 << 20
 _random = np.random.default_rng(20240503)
@@ -96,15 +97,15 @@ def runs(anchor: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarr
 def anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, h) for each anchor of each text."""
     for batch in batches:
-        key, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        key, text = batch.column(0), batch.column(1)
         for data, rows in chunks(text):
             h, anchor = anchors(data)
-            keys, found = [], []
+            own, found = [], []
             for row, begin, end in rows:
                 first, _ = runs(anchor, begin, end)
                 found.append(h[anchor[first]])
-                keys.append(np.full(len(first), key[row]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64))], names=["key", "h"])
+                own.append(np.full(len(first), row))
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(np.concatenate(own))), pa.array(np.concatenate(found).view(np.int64))], names=["key", "h"])
 
 
 PIECE = "bucket bigint, off int, ctx binary, uid bigint, start bigint, hot boolean, digest binary"
@@ -112,13 +113,14 @@ _PIECE = pa.schema([("bucket", pa.int64()), ("off", pa.int32()), ("ctx", pa.bina
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The context of each anchor whose hash recurs: the bytes of all strings with that anchor. off: from the first start to the anchor."""
+    """The context of each anchor whose hash recurs: the bytes of all strings with that anchor. off: from the first start to the anchor.
+    A text that has copies goes wholly; its contexts serve the other texts and have no uid."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
     for batch in batches:
-        uid, text, hashes, hot = batch.column(0), batch.column(1), batch.column(2), batch.column(3)
+        uid, text, hashes, hot, copies = (batch.column(i) for i in range(5))
         rows, size = [], 0
         for data, docs in chunks(text):
             h, anchor = anchors(data)
@@ -129,21 +131,13 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = h[at].view(np.int64)
                 listed = np.flatnonzero(np.isin(own, hashes[row].values.to_numpy()))
                 heavy = set(hot[row].values.to_numpy().tolist())
-                u = uid[row].as_py()
+                u = uid[row].as_py() if copies[row].as_py() == 1 else None
                 for a, lo, hi, bucket in zip(at[listed].tolist(), first[listed].tolist(), last[listed].tolist(), own[listed].tolist()):
-                    if bucket not in heavy:
-                        rows.append((bucket, a - lo, raw[lo : hi + LENGTH], u, lo - begin, False, None))
-                        size += hi - lo + LENGTH
-                        continue
-                    while lo <= hi:
-                        group = (a - lo) // STEP
-                        stop = min(hi, a - group * STEP)
-                        core = raw[a - group * STEP : a - group * STEP - STEP + 1 + LENGTH]
-                        ctx = raw[lo : stop + LENGTH]
-                        split = xxhash.xxh3_64_intdigest(core, seed=(bucket + group) % 2**64) - 2**63
-                        rows.append((split, a - lo, ctx, u, lo - begin, True, xxhash.xxh3_128_digest(ctx + (a - lo).to_bytes(2, "little") + split.to_bytes(8, "little", signed=True))))
-                        size += len(ctx)
-                        lo = stop + 1
+                    ctx, digest = raw[lo : hi + LENGTH], None
+                    if bucket in heavy:
+                        digest = xxhash.xxh3_128_digest(ctx + (a - lo).to_bytes(2, "little") + bucket.to_bytes(8, "little", signed=True))
+                    rows.append((bucket, a - lo, ctx, u, lo - begin, bucket in heavy, digest))
+                    size += len(ctx)
                 if size >= 4 << 20:
                     yield out(rows)
                     rows, size = [], 0
@@ -151,25 +145,56 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows)
 
 
+PART = "bucket bigint, off int, ctx binary, uid bigint, start bigint, n bigint, digest binary"
+_PART = pa.schema([("bucket", pa.int64()), ("off", pa.int32()), ("ctx", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+
+
+def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts each distinct context (bucket, off, ctx, digest, n) of a hot anchor in groups of STEP starts, counted from the anchor. The bucket
+    of a group is the hash of the bytes that all its strings share, so equal strings still meet."""
+    for batch in batches:
+        rows = []
+        for bucket, off, ctx, digest, n in zip(*(c.to_pylist() for c in batch.columns)):
+            lo, hi = 0, len(ctx) - LENGTH
+            while lo <= hi:
+                group = (off - lo) // STEP
+                stop, core = min(hi, off - group * STEP), off - group * STEP
+                shared = ctx[core : core - STEP + 1 + LENGTH]
+                rows.append((xxhash.xxh3_64_intdigest(shared, seed=(bucket + group) % 2**64) - 2**63, off - lo, ctx[lo : stop + LENGTH], None, lo, n, digest))
+                lo = stop + 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART)], schema=_PART)
+
+
 RUN = "uid bigint, digest binary, lo bigint, hi bigint"
 _RUN = pa.schema([("uid", pa.int64()), ("digest", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def sort_block(rows: list[tuple]) -> list[tuple]:
-    """Runs (uid, digest, first start, last start) of repeated strings of a block of whole buckets; rows: bucket, off, ctx, uid, start, n, digest."""
+    """Runs (uid, digest, first start, last start) of repeated strings of a block of whole buckets; rows: bucket, off, ctx, uid, start, n, digest.
+    A bucket of one context has nothing to compare; two contexts are compared at once; more are sorted."""
+    bucket, members = np.unique(np.array([r[0] for r in rows]), return_inverse=True, return_counts=True)[1:]
+    size = members[bucket]
+    out = []
+    for pick, test in ((size == 1, None), (size == 2, repeated_pairs), (size > 2, repeated)):
+        if pick.any():
+            own = np.flatnonzero(pick)
+            out += _runs_of([rows[i] for i in own.tolist()], bucket[own], test)
+    return out
+
+
+def _runs_of(rows: list[tuple], bucket: np.ndarray, test) -> list[tuple]:
     sizes = np.array([len(r[2]) for r in rows])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\xff".join(r[2] for r in rows), np.uint8)  # no UTF-8 text holds this byte
     counts = sizes - LENGTH + 1
-    total = int(counts.sum())
-    ends = np.cumsum(counts)
+    ends, total = np.cumsum(counts), int(counts.sum())
     row = np.repeat(np.arange(len(rows)), counts)
+    found = np.array([r[5] > 1 for r in rows])[row]
     step = np.arange(total) - np.repeat(ends - counts, counts)
-    bucket = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
-    off = np.array([r[1] for r in rows])
-    found = repeated(text, begins[row] + step, bucket[row] * LENGTH + off[row] - step, LENGTH)
-    many = np.array([r[5] > 1 for r in rows])
-    found |= many[row]
+    if test is not None:
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        text = np.frombuffer(b"\xff".join(r[2] for r in rows), np.uint8)  # no UTF-8 text holds this byte
+        off = np.array([r[1] for r in rows])
+        found |= test(text, begins[row] + step, bucket[row] * LENGTH + off[row] - step, LENGTH)
     # runs of found starts that don't go on into the next context
     edge = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])) != 0)
     out = []
@@ -178,7 +203,8 @@ def sort_block(rows: list[tuple]) -> list[tuple]:
             r = int(row[lo])
             stop = min(hi, int(ends[r]) - 1)
             _, _, _, uid, start, _, digest = rows[r]
-            out.append((uid, digest, start + int(step[lo]), start + int(step[stop])))
+            if uid is not None or digest is not None:
+                out.append((uid, digest, start + int(step[lo]), start + int(step[stop])))
             lo = stop + 1
     return out
 
@@ -241,50 +267,53 @@ def cut(text: str, starts: str) -> Column:
     return run(F.col(text), F.col(starts))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), content(text_col))
+def text_key(text_col: str) -> Column:
+    """128 bits of the text's SHA-256: rows of equal texts share all results."""
+    return F.substring(F.unhex(F.sha2(content(text_col), 256)), 1, 16)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id, text, starts) of the rows that hold repeated strings; starts: runs of their first bytes. key is ``row_key``."""
-    base = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), content(text_col).alias("text"))
-    long = base.where(F.octet_length("text") >= LENGTH)
-    hashes = materialize(long.select("key", "text").mapInArrow(anchor_hashes, "key bigint, h bigint"), "anchors")
+def repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, text, starts) of the distinct texts that hold repeated strings; starts: runs of their first bytes. key is ``text_key``."""
+    long = docs.select(text_key(text_col).alias("key"), content(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
+    hashes = materialize(long.mapInArrow(anchor_hashes, "key binary, h bigint"), "anchors")
     again = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     listed = hashes.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
-    flagged = materialize(long.join(listed, "key").withColumn("uid", F.monotonically_increasing_id()), "flagged")
-    parts = materialize(flagged.select("uid", "text", "hashes", "hot").mapInArrow(pieces, PIECE), "contexts")
+    texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))  # copies meet before they travel
+    flagged = materialize(texts.join(listed, "key").withColumn("uid", F.monotonically_increasing_id()), "flagged")
+    parts = materialize(flagged.select("uid", "text", "hashes", "hot", "copies").mapInArrow(pieces, PIECE), "contexts")
     order = ["bucket", "off", "ctx", "uid", "start", "n", "digest"]
     few = parts.where("NOT hot").withColumn("n", F.lit(1).cast("bigint")).select(order)
-    heavy = parts.where("hot").groupBy("bucket", "off", "ctx", "digest").agg(F.count("*").alias("n"))
-    heavy = heavy.select("bucket", "off", "ctx", F.lit(None).cast("bigint").alias("uid"), F.lit(0).cast("bigint").alias("start"), "n", "digest")
+    heavy = parts.where("hot").groupBy("bucket", "off", "ctx", "digest").agg(F.count("*").alias("n"))  # equal contexts meet before they are cut
+    heavy = heavy.select("bucket", "off", "ctx", "digest", "n").mapInArrow(split, PART)
     found = materialize(few.unionByName(heavy).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, RUN), "runs")
-    where = parts.where("hot").select("digest", "uid", "start")
-    spread = found.where("digest IS NOT NULL").select("digest", "lo", "hi").join(where, "digest").select("uid", (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi"))
-    starts = found.where("digest IS NULL").select("uid", "lo", "hi").unionByName(spread)
-    per_row = starts.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    return flagged.select("uid", "key", "doc_id", "text").join(per_row, "uid").drop("uid")
+    where = parts.where("hot AND uid IS NOT NULL").select("digest", "uid", "start")
+    per_context = found.where("digest IS NOT NULL").groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # under LENGTH runs each
+    spread = per_context.join(where, "digest").select("uid", F.expr("transform(runs, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("runs"))
+    plain = found.where("digest IS NULL").select("uid", F.array(F.struct("lo", "hi")).alias("runs"))
+    all_of_it = F.struct(F.lit(0).cast("bigint").alias("lo"), (F.octet_length("text") - LENGTH).cast("bigint").alias("hi"))
+    whole = flagged.where("copies > 1").select("uid", F.array(all_of_it).alias("runs"))
+    per_text = plain.unionByName(spread).unionByName(whole).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("starts"))
+    return flagged.select("uid", "key", "text").join(per_text, "uid").drop("uid")
 
 
-def changed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id and the result of ``cut``, one row for each (key, doc_id) that loses bytes; repeated rows have equal results."""
-    out = repeats(docs, id_col, text_col).select("key", "doc_id", cut("text", "starts").alias("c"))
-    return out.groupBy("key", "doc_id").agg(F.first("c").alias("c"))
+def changed(docs: DataFrame, text_col: str) -> DataFrame:
+    """key and the result c of ``cut``, one row for each distinct text that loses bytes."""
+    return repeats(docs, text_col).select(F.col("key").alias("changed_key"), cut("text", "starts").alias("c"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with their repeated passages removed from the text; all other columns as they are."""
-    new = changed(docs, id_col, text_col).select("key", F.col("doc_id").alias("id"), F.col("c.kept_text").alias("kept"))
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"), F.col(id_col).alias("own"))
-    met = rows.join(new, (rows["key"] == new["key"]) & rows["own"].eqNullSafe(new["id"]), "left")
-    fields = [F.when(F.col("id").isNotNull() | F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("row").getField(c)).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return met.select(*fields)
+    new = changed(docs, text_col).select("changed_key", F.col("c.kept_text").alias("kept_text"))
+    rows = docs.select(F.struct("*").alias("row"), text_key(text_col).alias("own_key"))
+    met = rows.join(new, F.col("own_key") == F.col("changed_key"), "left")
+    return met.select(*[F.when(F.col("changed_key").isNotNull(), F.col("kept_text")).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    whole = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", F.octet_length(content()).cast("long").alias("n_bytes"), F.sha2(content(), 256).alias("sha"))
-    new = changed(docs, "doc_id", "text").select("key", F.col("doc_id").alias("id"), "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("new"))
-    met = whole.join(new, (whole["key"] == new["key"]) & whole["doc_id"].eqNullSafe(new["id"]), "left")
+    sha = F.sha2(content(), 256)
+    whole = docs.select("doc_id", F.octet_length(content()).cast("long").alias("n_bytes"), sha.alias("sha"), text_key("text").alias("own_key"))
+    new = changed(docs, "text").select("changed_key", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("new"))
+    met = whole.join(new, F.col("own_key") == F.col("changed_key"), "left")
     zero = F.lit(0).cast("long")
     return met.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("new", "sha").alias("kept_sha256"))

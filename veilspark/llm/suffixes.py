@@ -94,12 +94,32 @@ def repeated(text: np.ndarray, starts: np.ndarray, classes: np.ndarray, length:
             place, group = place[go], key[go]
     # neighbours in a tie that ranks told apart may still agree over ``length`` bytes
     check = np.flatnonzero(tied & ~proven)
-    a, b = starts[order[check]], starts[order[check + 1]]
-    for i in [*range(HEAD, length - 8, 8), length - 8]:
+    proven[check[_agree(words, starts[order[check]], starts[order[check + 1]], length)]] = True
+    return _marked(order, proven)
+
+
+def repeated_pairs(text: np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
+    """The same for classes of at most two starts, whose order is one comparison."""
+    words = _words(np.concatenate([text, np.zeros(8, np.uint8)]))
+    order = np.argsort(classes, kind="stable")
+    proven = classes[order[1:]] == classes[order[:-1]]
+    check = np.flatnonzero(proven)
+    proven[:] = False
+    proven[check[_agree(words, starts[order[check]], starts[order[check + 1]], length)]] = True
+    return _marked(order, proven)
+
+
+def _agree(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which pairs of places agree over ``length`` bytes, eight at a time."""
+    left = np.arange(len(a))
+    for i in [*range(0, length - 8, 8), length - 8]:
         keep = words[a + i] == words[b + i]
-        check, a, b = check[keep], a[keep], b[keep]
-    proven[check] = True
-    found = np.zeros(len(starts), bool)
+        left, a, b = left[keep], a[keep], b[keep]
+    return left
+
+
+def _marked(order: np.ndarray, proven: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(order), bool)
     found[order[1:][proven]] = True
     found[order[:-1][proven]] = True
     return found
