@@ -141,6 +141,8 @@ def test_op3(spark, docs, empty, table_dir, monkeypatch, hot):
 def test_op3_on_near_copies_and_low_entropy(spark, table_dir):
     r = random.Random(8)
     table = [*near_cluster(60, 1), *((100 + i, "".join(r.choice("ab") for _ in range(r.randrange(600)))) for i in range(30)), (200, "xyz" * 200), (201, "xyz" * 150 + "q"), (202, "é" * 250 + "x" * 250)]
+    again = prose(70, 45)
+    table += [(210, again + " " + prose(71, 90) + " " + again + " " + prose(72, 30) + " " + again), (211, "Und " * 2000 + prose(73, 60) + " Und" * 500), (212, "Und " * 300)]
     got = op3_suffix_dedup.op3_suffix_dedup(spark, table_dir(documents=spark.createDataFrame(table, "doc_id bigint, text string")))
     assert by_row(got.collect()) == brute_spans(table)
 

@@ -95,26 +95,30 @@ def runs(anchor: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarr
 
 
 def anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h) for each anchor of each text."""
+    """(key, h, n): each distinct anchor hash of each text and how often it has it there; periodic text repeats one hash often."""
     for batch in batches:
         key, text = batch.column(0), batch.column(1)
         for data, rows in chunks(text):
             h, anchor = anchors(data)
-            own, found = [], []
+            own, found, times = [], [], []
             for row, begin, end in rows:
                 first, _ = runs(anchor, begin, end)
-                found.append(h[anchor[first]])
-                own.append(np.full(len(first), row))
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(np.concatenate(own))), pa.array(np.concatenate(found).view(np.int64))], names=["key", "h"])
+                value, n = np.unique(h[anchor[first]], return_counts=True)
+                found.append(value)
+                times.append(n)
+                own.append(np.full(len(value), row))
+            columns = [key.take(pa.array(np.concatenate(own))), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n"])
 
 
-PIECE = "bucket bigint, off int, ctx binary, uid bigint, start bigint, hot boolean, digest binary"
-_PIECE = pa.schema([("bucket", pa.int64()), ("off", pa.int32()), ("ctx", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("hot", pa.bool_()), ("digest", pa.binary())])
+PIECE = "bucket bigint, off int, ctx binary, uid bigint, start bigint, hi bigint, hot boolean, digest binary"
+_PIECE = pa.schema([("bucket", pa.int64()), ("off", pa.int32()), ("ctx", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("hi", pa.int64()), ("hot", pa.bool_()), ("digest", pa.binary())])
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The context of each anchor whose hash recurs: the bytes of all strings with that anchor. off: from the first start to the anchor.
-    A text that has copies goes wholly; its contexts serve the other texts and have no uid."""
+    A text that has copies goes wholly; its contexts serve the other texts and have no uid. In periodic text one context follows itself:
+    its strings are repeated at once, so it is sent once without a uid, beside one row without context for the starts from start to hi."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
@@ -132,12 +136,21 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 listed = np.flatnonzero(np.isin(own, hashes[row].values.to_numpy()))
                 heavy = set(hot[row].values.to_numpy().tolist())
                 u = uid[row].as_py() if copies[row].as_py() == 1 else None
-                for a, lo, hi, bucket in zip(at[listed].tolist(), first[listed].tolist(), last[listed].tolist(), own[listed].tolist()):
-                    ctx, digest = raw[lo : hi + LENGTH], None
-                    if bucket in heavy:
-                        digest = xxhash.xxh3_128_digest(ctx + (a - lo).to_bytes(2, "little") + bucket.to_bytes(8, "little", signed=True))
-                    rows.append((bucket, a - lo, ctx, u, lo - begin, bucket in heavy, digest))
-                    size += len(ctx)
+                before, since, until = None, 0, 0
+                for a, lo, hi, bucket in [*zip(at[listed].tolist(), first[listed].tolist(), last[listed].tolist(), own[listed].tolist()), (0, 0, -1, None)]:
+                    ctx = raw[lo : hi + LENGTH]
+                    if before == (bucket, a - lo, ctx) and lo == until + 1:
+                        until = hi  # the same strings at the next period
+                        continue
+                    if before is not None:
+                        b, off, held = before
+                        once = until - since == len(held) - LENGTH
+                        digest = xxhash.xxh3_128_digest(held + off.to_bytes(2, "little") + b.to_bytes(8, "little", signed=True)) if b in heavy else None
+                        rows.append((b, off, held, u if once else None, since - begin, None, b in heavy, digest))
+                        size += len(held)
+                        if not once and u is not None:
+                            rows.append((None, None, None, u, since - begin, until - begin, False, None))
+                    before, since, until = (bucket, a - lo, ctx), lo, hi
                 if size >= 4 << 20:
                     yield out(rows)
                     rows, size = [], 0
@@ -275,21 +288,22 @@ def text_key(text_col: str) -> Column:
 def repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, text, starts) of the distinct texts that hold repeated strings; starts: runs of their first bytes. key is ``text_key``."""
     long = docs.select(text_key(text_col).alias("key"), content(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
-    hashes = materialize(long.mapInArrow(anchor_hashes, "key binary, h bigint"), "anchors")
-    again = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    listed = hashes.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
+    hashes = materialize(long.mapInArrow(anchor_hashes, "key binary, h bigint, n bigint"), "anchors")
+    again = hashes.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1")
+    listed = hashes.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("total") > HOT, F.col("h"))).alias("hot"))
     texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))  # copies meet before they travel
     flagged = materialize(texts.join(listed, "key").withColumn("uid", F.monotonically_increasing_id()), "flagged")
     parts = materialize(flagged.select("uid", "text", "hashes", "hot", "copies").mapInArrow(pieces, PIECE), "contexts")
     order = ["bucket", "off", "ctx", "uid", "start", "n", "digest"]
-    few = parts.where("NOT hot").withColumn("n", F.lit(1).cast("bigint")).select(order)
+    few = parts.where("NOT hot AND ctx IS NOT NULL").withColumn("n", F.lit(1).cast("bigint")).select(order)
     heavy = parts.where("hot").groupBy("bucket", "off", "ctx", "digest").agg(F.count("*").alias("n"))  # equal contexts meet before they are cut
     heavy = heavy.select("bucket", "off", "ctx", "digest", "n").mapInArrow(split, PART)
     found = materialize(few.unionByName(heavy).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, RUN), "runs")
     where = parts.where("hot AND uid IS NOT NULL").select("digest", "uid", "start")
     per_context = found.where("digest IS NOT NULL").groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # under LENGTH runs each
     spread = per_context.join(where, "digest").select("uid", F.expr("transform(runs, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("runs"))
-    plain = found.where("digest IS NULL").select("uid", F.array(F.struct("lo", "hi")).alias("runs"))
+    plain = found.where("digest IS NULL").select("uid", "lo", "hi").unionByName(parts.where("ctx IS NULL").select("uid", F.col("start").alias("lo"), "hi"))
+    plain = plain.select("uid", F.array(F.struct("lo", "hi")).alias("runs"))
     all_of_it = F.struct(F.lit(0).cast("bigint").alias("lo"), (F.octet_length("text") - LENGTH).cast("bigint").alias("hi"))
     whole = flagged.where("copies > 1").select("uid", F.array(all_of_it).alias("runs"))
     per_text = plain.unionByName(spread).unionByName(whole).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("starts"))
