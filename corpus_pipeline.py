@@ -18,6 +18,9 @@ from veilspark.llm.op5_exact_dedup import keep_one
 from veilspark.llm.op6_minhash import near_duplicates
 from veilspark.llm.op10_packing import pack
 
+#: Percent of common word shingles from which two documents are near-duplicates here; the query op6_minhash has its own, 85.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -30,8 +33,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"))
+    """One document of each group of near-duplicates (similarity 0.8 or more), that of the smallest id."""
+    gone = near_duplicates(docs, percent=NEAR).where("NOT kept").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")  # a row with a null id stays
 
 

@@ -12,7 +12,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from veilspark.llm import op1_bpe, op2_quality_rules, op7_warc, op9_url_filters, op10_packing
+from veilspark.llm import op1_bpe, op2_quality_rules, op6_minhash, op7_warc, op9_url_filters, op10_packing
 from veilspark.llm.common import workspace
 
 from .conftest import prose, rows
@@ -189,3 +189,17 @@ def test_pipeline_against_brute_force(spark, docs, table_dir):
 
 def test_pipeline_on_an_empty_table(spark, empty, table_dir):
     assert corpus_pipeline.run(spark, table_dir(documents=empty)).count() == 0
+
+
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    """200 words are 196 shingles, of which a changed word takes 5: 4 changes leave 176 of 216 (0.815), 5 leave 171 of 221 (0.774)."""
+    own = lambda group, changes: " ".join(f"x{changes}" if i % 20 == 10 and i < 20 * changes else f"{group}{i}" for i in range(200))
+    now = spark.createDataFrame([(1, own("a", 0)), (2, own("a", 4)), (3, own("b", 0)), (4, own("b", 5))], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_groups(spark, now, "").collect()} == {1, 3, 4}
+    assert {r["doc_id"] for r in op6_minhash.near_duplicates(now).where("kept").collect()} == {1, 2, 3, 4}  # the query's own bound stays
+
+
+def test_bands_follow_the_similarity():
+    assert op6_minhash.bands(85) == 44 and op6_minhash.bands(80) == 76 and op6_minhash.bands(100) * op6_minhash.ROWS == op6_minhash.SIGNATURE
+    assert all((1 - (p / 100) ** op6_minhash.ROWS) ** op6_minhash.bands(p) < 1e-6 for p in range(50, 101))
+    assert len(op6_minhash.minima(op6_minhash.shingles("a b c d e f"), 608)) == 608

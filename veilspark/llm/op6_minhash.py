@@ -1,7 +1,7 @@
 """MinHash near-duplicates.
 
-1. *Sketch*: each document's set of shingles (as 64-bit hashes) gives ``BANDS * ROWS`` universal hash minima. Documents with
-   the same set are represented by the smallest id from here on.
+1. *Sketch*: each document's set of shingles (as 64-bit hashes) gives ``ROWS`` universal hash minima for each band; the number of
+   bands follows from the similarity asked for. Documents with the same set are represented by the smallest id from here on.
 2. *Banding*: ``ROWS`` minima make a band key. Each member of a band bucket is tied to the bucket's smallest id, never to
    every other member; components of these ties are the candidate clusters, so that all that share a band are together.
 3. *Signature verification and exact links*: each cluster's texts travel once to one unit of at most ``BLOCK`` documents;
@@ -9,8 +9,8 @@
    of the pairs that pass, and returns a spanning forest of the links, never the list of pairs.
 4. *Components* of the forest by alternating large-star and small-star.
 
-A pair of similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 44, below 1e-6; its 128 signature bytes fall
-under the signature bound with probability below 1e-8. Nothing else is lost: there is no cap on buckets, clusters or candidates.
+A pair of the least similarity asked for shares no band with probability below MISS: (1 - 0.85 ** 8) ** 44 or (1 - 0.8 ** 8) ** 76.
+Its 128 signature bytes fall under the signature bound with probability below 2e-8 at either. Nothing else is lost: there is no cap on buckets, clusters or candidates.
 The work in a cluster grows with the square of its distinct sets, in bounded blocks that spread over the tasks.
 
 Defined results: null, empty or blank text has no shingles, is linked with nothing and stays; fewer words than a shingle
@@ -20,8 +20,10 @@ a null component; an empty table gives no rows; other columns are ignored whatev
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,13 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .components import connected_components
 
-BANDS, ROWS = 44, 8
+#: Minima in one band, and the probability below which a pair of the least similarity asked for may share no band.
+ROWS, MISS = 8, 1e-6
 SIGNATURE = 128
 #: Documents in one side of a comparison unit.
 BLOCK = 1500
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
-_random = np.random.default_rng(20240229)
-_A = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_MIX = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _U32, _U29 = np.uint64(32), np.uint64(29)
 
 
@@ -60,18 +60,31 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(s)
 
 
-def minima(s: np.ndarray, step: int = 256) -> np.ndarray:
-    """For each of the universal functions (a * x + b mod 2^64) >> 32 of the 32-bit x, the least value over the set."""
-    x, least = s >> _U32, np.full(len(_A), np.iinfo(np.uint64).max)
+def bands(percent: int) -> int:
+    """The least number of bands that misses a pair of that similarity with probability below MISS, and that gives the signature its minima."""
+    same = (percent / 100) ** ROWS
+    return max(SIGNATURE // ROWS, math.ceil(math.log(MISS) / math.log1p(-same)) if same < 1 else 1)
+
+
+@lru_cache(maxsize=None)
+def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """a (odd) and b of n universal functions; the first of them are the same for every n."""
+    drawn = np.random.default_rng(20240301).integers(0, 2**63, (n, 2), dtype=np.uint64)
+    return drawn[:, 0] * np.uint64(2) + np.uint64(1), drawn[:, 1].copy()
+
+
+def minima(s: np.ndarray, n: int, step: int = 256) -> np.ndarray:
+    """For each of n universal functions (a * x + b mod 2^64) >> 32 of the 32-bit x, the least value over the set."""
+    (a, b), x, least = functions(n), s >> _U32, np.full(n, np.iinfo(np.uint64).max)
     for i in range(0, len(x), step):
-        v = _A[:, None] * x[None, i : i + step]
-        v += _B[:, None]
+        v = a[:, None] * x[None, i : i + step]
+        v += b[:, None]
         np.minimum(least, v.min(axis=1), out=least)
     return (least >> _U32).astype(np.uint32)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    kind, n_bands = docs.schema[id_col].dataType.simpleString(), bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +97,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     if not len(s):
                         digests.append(None), keys.append([]), signs.append(None)
                         continue
-                    m = minima(s)
+                    m = minima(s, n_bands * ROWS)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append([xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(m.reshape(BANDS, ROWS))])
+                    keys.append([xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(m.reshape(n_bands, ROWS))])
                     signs.append(m[:SIGNATURE].astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
@@ -165,7 +178,7 @@ def exact_links(members: DataFrame, size: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
-    known = materialize(sketch(docs, id_col, text_col, size), "sketches")
+    known = materialize(sketch(docs, id_col, text_col, size, percent), "sketches")
     reps = known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sign").alias("sign")
     )
