@@ -131,6 +131,14 @@ def test_op4_without_training_rows(spark, table_dir):
     assert op4_language.op4_language(spark, table_dir(documents=df)).first()["lang_pred"] == "und"
 
 
+def test_op4_knows_every_language(spark):
+    word = lambda i: "".join(chr(0x4E00 + 5 * i + j) for j in (0, 2, 1, 4, 3))
+    table = [(2 * i + j, " ".join([word(i)] * 6), f"l{i:03}") for i in range(130) for j in range(1 + (i < 100))]
+    model = op4_language.fit(spark.createDataFrame(table, "doc_id bigint, text string, lang string"))
+    assert model.langs == [f"l{i:03}" for i in range(130)]
+    assert [model.predict(word(i) + " " + word(i))[0] for i in range(130)] == model.langs
+
+
 def quality_rows():
     good = [(i, prose(i, 60 + i % 50)) for i in range(400) if i % 4]
     return [*good, *((i, " ".join(w + r"$$$" for w in prose(i, 50).split())) for i in range(0, 400, 4)), (1000, None), (1001, ""), (None, "x"), (1, good[0][1])]

@@ -5,8 +5,8 @@ blank), hashed to DIM places, with damped counts and unit length. Each language
 k-means, and a text takes the language of the centroid of greatest cosine. It is rejected if its distance from that centroid
 exceeds the centroid's own bound: RADIUS times the distance that 99 % of its training texts keep to.
 
-Document frequencies come from all training rows, in one aggregation of DIM counts. Centroids are fitted on a sample of
-at most SAMPLE training rows of each language, those of least id hash, for at most LANGUAGES languages, the most frequent.
+Document frequencies come from all training rows, in one aggregation of DIM counts. Every language of the
+training rows gets centroids, fitted in a task of its own on at most SAMPLE of its rows, those of least id hash.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without training rows all are;
 rows with a null id are held out of training; repeated rows get equal results; other columns are ignored.
@@ -28,8 +28,8 @@ from pyspark.sql.functions import arrow_udf
 from .common import crc_fold, table
 
 DIM = 4096
-#: The bounds of the fitting sample and of the number of languages.
-SAMPLE, LANGUAGES = 300, 100
+#: The bound of the fitting sample of one language.
+SAMPLE = 300
 CLUSTERS, RADIUS, SHARPNESS = 3, 1.5, 25.0
 UNKNOWN = "und"
 
@@ -81,23 +81,6 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.array([found.get(i, 0) for i in range(DIM)]), found.get(DIM, 0)
 
 
-def sample_counts(texts: DataFrame) -> list[tuple[str, np.ndarray]]:
-    """(lang, counts) of the fitting sample; at most SAMPLE * LANGUAGES rows reach the driver."""
-    common = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = texts.select("lang", "doc_id").join(F.broadcast(common), "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                if (g := grams(text.as_py())) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([np.minimum(g, 65535).astype(np.uint16).tobytes()])], names=["lang", "counts"])
-
-    chosen = texts.join(ids.select("lang", "doc_id"), ["lang", "doc_id"]).where("text IS NOT NULL").dropDuplicates(["lang", "doc_id"])
-    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, counts binary").collect()
-    return sorted(((r["lang"], np.frombuffer(r["counts"], np.uint16)) for r in rows), key=lambda x: (x[0], x[1].tobytes()))
-
-
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     """Unit centroids; the first start is the row nearest the mean, each next one the row farthest from those chosen."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
@@ -135,22 +118,47 @@ class LanguageModel:
         return self.langs[self.owner[at]], float(score), float(1 - near[at]), bool(1 - near[at] > self.bound[at])
 
 
+def centroids_of(texts: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, centroids, bounds) of every language, by lang; only these reach the driver, the sample of a language meets in one task."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = texts.select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
+
+    def fitted(lang: str, counts: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.array([vector(c, idf) for c in sorted(counts, key=lambda c: c.tobytes())])
+        found = spherical_kmeans(x, CLUSTERS)
+        near = x @ found.T
+        far = [1 - near[near.argmax(axis=1) == j, j] for j in range(len(found))]
+        bound = np.array([min(1.0, RADIUS * float(np.quantile(f, 0.99))) if len(f) else 0.0 for f in far])
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found.tobytes()]), pa.array([bound.tobytes()])], names=["lang", "centroids", "bounds"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts = None, []
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                if lang.as_py() != own:
+                    if counts:
+                        yield fitted(own, counts)
+                    own, counts = lang.as_py(), []
+                if (g := grams(text.as_py())) is not None:
+                    counts.append(np.minimum(g, 65535).astype(np.uint16))
+        if counts:
+            yield fitted(own, counts)
+
+    chosen = texts.join(ids.select("lang", "doc_id"), ["lang", "doc_id"]).where("text IS NOT NULL").dropDuplicates(["lang", "doc_id"])
+    dealt = chosen.select("lang", "text").repartition("lang").sortWithinPartitions("lang")
+    rows = dealt.mapInArrow(run, "lang string, centroids binary, bounds binary").collect()
+    return sorted(((r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM), np.frombuffer(r["bounds"])) for r in rows), key=lambda x: x[0])
+
+
 def fit(training: DataFrame) -> LanguageModel:
     """A model from rows with doc_id, text and lang, all of which may be learned from."""
     texts = training.where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequencies(texts)
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
-    sample = sample_counts(texts)
-    langs = sorted({lang for lang, _ in sample})
-    centroids, owner, bound = [], [], []
-    for i, lang in enumerate(langs):
-        x = np.array([vector(c, idf) for own, c in sample if own == lang])
-        found = spherical_kmeans(x, CLUSTERS)
-        near = x @ found.T
-        for j, c in enumerate(found):
-            far = 1 - near[near.argmax(axis=1) == j, j]
-            centroids.append(c), owner.append(i), bound.append(min(1.0, RADIUS * float(np.quantile(far, 0.99))) if len(far) else 0.0)
-    return LanguageModel(idf, langs, np.array(centroids, np.float32).reshape(-1, DIM), np.array(owner, int), np.array(bound))
+    found = centroids_of(texts, idf)
+    owner = np.repeat(np.arange(len(found)), [len(c) for _, c, _ in found])
+    centroids = np.concatenate([np.empty((0, DIM), np.float32), *(c for _, c, _ in found)])
+    return LanguageModel(idf, [lang for lang, _, _ in found], centroids, owner, np.concatenate([np.empty(0), *(b for _, _, b in found)]))
 
 
 def predict(text: str, model: LanguageModel) -> Column:
