@@ -139,6 +139,13 @@ def test_op4_knows_every_language(spark):
     assert [model.predict(word(i) + " " + word(i))[0] for i in range(130)] == model.langs
 
 
+def test_op4_fits_and_predicts_with_one_vector(spark):
+    """The only training text is its language's centroid, also where an n-gram occurs over 65,535 times."""
+    text = "a" * 3_000_000 + " " + prose(9, 300)
+    model = op4_language.fit(spark.createDataFrame([(1, text, "aa")], "doc_id bigint, text string, lang string"))
+    assert model.predict(text)[2] < 1e-5
+
+
 def quality_rows():
     good = [(i, prose(i, 60 + i % 50)) for i in range(400) if i % 4]
     return [*good, *((i, " ".join(w + r"$$$" for w in prose(i, 50).split())) for i in range(0, 400, 4)), (1000, None), (1001, ""), (None, "x"), (1, good[0][1])]

@@ -140,7 +140,7 @@ def centroids_of(texts: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarra
                         yield fitted(own, counts)
                     own, counts = lang.as_py(), []
                 if (g := grams(text.as_py())) is not None:
-                    counts.append(np.minimum(g, 65535).astype(np.uint16))
+                    counts.append(g)
         if counts:
             yield fitted(own, counts)
 
