@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import AnonymizerConfig
 from ..schema import StreamSchema
+from ..shared import workspace
 from .batch import frame, output_schema
 from .kernel import Anonymizer
 
@@ -55,18 +54,12 @@ def anonymize_stream(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig,
     return keyed.groupBy(shard).transformWithStateInPandas(ShardProcessor(schema, cfg, shard), output_schema(schema, shard), "Append", "None")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/veilspark-stream-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="veilspark-")
-
-
 def replay(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig, shard: str, parts: int = 2) -> DataFrame:
     """Feeds a batch frame through the streaming form in ``parts`` runs, each from the checkpoint of the one before, ended by a row that flushes each
     shard; returns the published rows. The parts follow the sequence, cut at quantiles of it."""
     spark = df.sparkSession.newSession()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder = shared_folder(df.sparkSession)
+    folder = workspace(df.sparkSession, "stream")
     rows = df.select(F.col(shard).cast("string").alias(shard), schema.seq, *[a.name for a in schema.quasi], schema.sensitive.name)
     cuts = rows.approxQuantile(schema.seq, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     edges = [None, *cuts, None]
