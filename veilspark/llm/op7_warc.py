@@ -5,9 +5,9 @@ in a leading skippable frame; every record is a frame of its own, compressed wit
 alone once the first frame is known. Of equal payloads one record holds the payload, the others refer to it.
 
 Archives go to the shared folder under names of their own, and a written manifest lists the ones whose task ended. The reader
-takes those of the manifest only, so a lost or repeated task neither loses nor doubles a record. Duplicate payloads are found by
-digest in an aggregation with partial results; a hot payload is one row there, and adaptive execution splits its rows in
-the join that follows.
+takes those of the manifest only, so a lost or repeated task neither loses nor doubles a record. Equal payloads are found by
+their SHA-256 (the SHA-1 of the header names them, but colliding pages are publicly known) in an aggregation of plain (id, digest)
+rows with partial results; its verdict meets the rows by digest and salt, so a hot payload is spread over SALTS parts.
 
 Defined results: null html is the empty payload, equal to other empty ones; of repeated rows with one id and payload each is written,
 and all are responses if that id is the smallest; a null url has no target line; a null id stays null and is never referred to unless
@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content, materialize, table, workspace
+from .common import content, each_salt, materialize, salt_of, salts_met, table, workspace
 
 #: Bytes of records in an archive, of records that train its dictionary, and of the dictionary.
 ARCHIVE, TRAINING, DICTIONARY = 24 << 20, 1 << 20, 32 << 10
@@ -116,13 +116,15 @@ def parse(raw: bytes) -> dict:
     return found
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes archives below ``folder``, a URI that all executors reach; returns the manifest (path, records), written too."""
+def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", size_limit: int = ARCHIVE) -> DataFrame:
+    """Writes archives of about ``size_limit`` bytes of records below ``folder``, a URI that all executors reach; returns the manifest
+    (path, records), written too."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), content(html_col).alias("html"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("html", 256))).withColumn("salt", salt_of("page_id", "url"))
+    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), salts_met(F.col("salt")).alias("met"))
+    first = first.select("sha", "first", each_salt(F.col("met")).alias("salt"))
     refers = F.when((F.octet_length("html") >= least) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))), F.col("first"))
-    dealt = rows.join(first, "sha").select("page_id", "url", "html", refers.alias("refers_to"))
+    dealt = rows.join(first, ["sha", "salt"]).select("page_id", "url", "html", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -140,7 +142,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id"
                 payload = html.as_py().encode("utf-8")
                 records.append(record(page_id.as_py(), url.as_py(), payload, digest(payload), to.as_py()))
                 size += len(records[-1])
-                if size >= ARCHIVE:
+                if size >= size_limit:
                     yield close(records)
                     records, size = [], 0
         if records:
