@@ -9,7 +9,7 @@ It is fitted here, with logistic loss and adaptive steps, on at most TRAINING la
 language, source and id are never inputs.
 
 Defined results: null and empty texts are scored as texts without words; without labels the score is 0.5; rows with a null id
-are never learned from; of several labels of one id the greatest counts; repeated rows get equal scores; other columns are ignored.
+are never learned from and are held out; of several labels of one id the greatest counts, of several texts the least; repeated rows get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING) -> Factorisati
     """docs: doc_id, text, all of which may be learned from; labels: doc_id, quality. At most ``rows`` reach the driver."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     ids = docs.select("doc_id").distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("label", content().alias("text"))  # at most ``rows`` rows
+    chosen = docs.join(F.broadcast(ids), "doc_id")  # at most ``rows`` ids
+    chosen = chosen.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(content()).alias("text")).select("label", "text")  # and as many rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
