@@ -1,10 +1,11 @@
 """URL rules by a sort-merge range join, with DataFrame operations only.
 
 A rule (host, path) covers the host, its subdomains, and every path that begins with the rule's. Its
-canonical key is ``path + TAB + reversed host labels``, each label closed by a dot: of all keys with
-that path, those of the host's subtree are one interval [key, key with its last dot raised). A url is
-probed once for each distinct length of a rule path: its path cut to that length, then its reversed
-host. So every "is covered by" question is "which intervals hold this key".
+canonical key is ``length of the path + path + reversed host labels``, each label closed by a dot; the length has a fixed width, so
+path and host can't run into each other whatever characters they hold. Of all keys with that path, those of the host's subtree are
+one interval [key, key with its last dot raised). A url is probed for each length of a rule path that rules for its host or
+a parent domain have: its path cut to that length, then its reversed host. So every "is covered by" question is "which intervals
+hold this key".
 
 Intervals of prefixes nest or are disjoint. One fold over the sorted interval ends keeps a stack of
 the open rules and yields disjoint segments, each with the rule on top of the stack: the longest
@@ -44,6 +45,11 @@ def reversed_host(host: str) -> str:
     return f"concat(array_join(reverse(split({host}, '[.]', -1)), '.'), '.')"
 
 
+def key(size: str, path: str) -> str:
+    """SQL for the canonical key of the column host and a path of ``size`` characters."""
+    return f"concat(lpad({size}, 10, '0'), {path}, {reversed_host('host')})"
+
+
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
     rest = f"substring({url}, instr({url}, '://') + 3)"
     host = f"regexp_extract({rest}, '^[^/?#]*', 0)"
@@ -58,7 +64,7 @@ def rule_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     rows = [F.struct(F.lit(i).alias("rule_id"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for i, (v, h, p) in enumerate(rules)]
     none = F.from_json(F.lit("[]"), "array<struct<rule_id:int,verdict:string,host:string,path:string>>")
     df = spark.range(1).select(F.inline(F.array(*rows) if rows else none))
-    return df.select("*", F.expr(f"concat(path, '\\t', {reversed_host('host')})").alias("lo")).withColumn(
+    return df.select("*", F.expr(key("length(path)", "path")).alias("lo")).withColumn(
         "hi", F.expr("concat(substring(lo, 1, length(lo) - 1), '/')")
     )
 
@@ -97,15 +103,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], shards: int | Non
     host, path = host_and_path("url")
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     named = rule_frame(spark, rules)
-    lengths = sorted({len(p) for _, _, p in rules}) or [0]
-    cuts = F.array(*[F.lit(n) for n in lengths])
     shard = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(shards)).cast("int").alias("shard")
-    # one row for each url; its probes lie in an array until the sort needs them apart
-    probes = urls.select("page_id", "host", "path", shard, F.monotonically_increasing_id().alias("row")).select(
-        "*", F.explode(F.filter(cuts, lambda n: (n == lengths[0]) | (n <= F.length("path")))).alias("cut")
-    )
+    # the host and its parent domains, down to as many labels as a rule's host has at most; those with rules give the lengths to probe
+    most = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    parents = F.expr(f"transform(sequence(greatest(size(labels) - {most}, 0), size(labels) - 1), i -> array_join(slice(labels, i + 1, size(labels) - i), '.'))")
+    lengths = named.groupBy(F.col("host").alias("parent")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    rows = urls.select("page_id", "host", "path", shard, F.monotonically_increasing_id().alias("row"), F.expr("split(host, '[.]', -1)").alias("labels"))
+    rows = rows.select("page_id", "host", "path", "shard", "row", F.posexplode(parents).alias("nth", "parent"))
+    rows = rows.join(F.broadcast(lengths), "parent", "left")  # at most MAX_RULES rows, checked in rule_frame
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    probes = rows.select("*", F.explode_outer(fitting).alias("cut")).where("cut IS NOT NULL OR nth = 0")
     probes = probes.select(
-        "shard", F.expr(f"concat(substring(path, 1, cut), '\\t', {reversed_host('host')})").alias("at"), F.lit(1).alias("kind"),
+        "shard", F.coalesce(F.expr(key("cut", "substring(path, 1, cut)")), F.lit("")).alias("at"), F.lit(1).alias("kind"),
         "page_id", "host", "path", "row", F.lit(None).cast("int").alias("rule_id"),
     )
     starts = segments(named).select(
