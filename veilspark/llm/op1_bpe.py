@@ -3,8 +3,8 @@
 A word's symbols form a doubly linked list; a priority queue holds the mergeable neighbours by (merge rank,
 place). The best entry is taken, skipped if one of its symbols has merged meanwhile (a stale entry), else
 its pair merges and the two new neighbour pairs enter the queue. Decoding concatenates vocabulary strings, with the file's
-separator (a blank where the file names no decoder). Letters that got a lower case only after this Python's Unicode
-tables (some 50, none in common scripts) keep their case.
+separator (a blank where the file names no decoder). Texts with letters whose lower case this Python's Unicode tables don't
+know as the tokenizers library does (some 50, none in common scripts) are lower-cased by that library.
 
 Words repeat, so each worker keeps the ids of the words met, at most CACHE_WORDS of them; the cache
 changes the speed only. Text goes in and ids come out in Arrow batches as flat buffers.
@@ -52,6 +52,17 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+def other_cases():
+    """A search for characters whose lower case differs between this Python and the tokenizers library; cased letters lie in the
+    planes 0 and 1."""
+    from tokenizers import normalizers
+
+    chars = list(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]))
+    lower = normalizers.Lowercase().normalize_str("\n".join(chars)).split("\n")
+    differ = "".join(c for c, low in zip(chars, lower) if ("σ" if c == "Σ" else c.lower()) != low)
+    return re.compile(f"[{re.escape(differ)}]").search if differ else lambda text: None
+
+
 def newer_letters(pattern: str):
     """The regex package may know letters and digits of a later Unicode than the tokenizers library. Returns a search
     for characters from the first such one on, and a findall that takes them for neither letter nor digit."""
@@ -80,7 +91,10 @@ class WordBPE(dict):
     """Word -> its ids as little-endian 32-bit bytes, filled as words are met."""
 
     def __init__(self, path: str):
+        from tokenizers import normalizers
+
         super().__init__()
+        self.lowercase = normalizers.Lowercase().normalize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
@@ -101,6 +115,7 @@ class WordBPE(dict):
         self.words = regex.compile(pattern).findall
         self.newer, self.older_words = newer_letters(pattern)
         self.latin_words = latin_words(pattern)
+        self.other_case = other_cases()
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = {s: np.int32(i).tobytes() for s, i in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
@@ -147,8 +162,11 @@ class WordBPE(dict):
         except UnicodeEncodeError:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # each letter alone: a final sigma is not told apart
-            if self.newer(text := text.lower()):
+            if self.other_case(text):
+                text = self.lowercase(text)
+            else:
+                text = text.replace("Σ", "σ").lower()  # each letter alone: a final sigma is not told apart
+            if self.newer(text):
                 return b"".join(map(self.__getitem__, self.older_words(text)))
             return b"".join(map(self.__getitem__, self.words(text)))
         return b"".join(map(self.__getitem__, self.latin_words(text.lower())))
