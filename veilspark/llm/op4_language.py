@@ -9,7 +9,7 @@ Document frequencies come from all training rows, in one aggregation of DIM coun
 training rows gets centroids, fitted in a task of its own on at most SAMPLE of its rows, those of least id hash.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without training rows all are;
-rows with a null id are held out of training; repeated rows get equal results; other columns are ignored.
+rows with a null id are held out of training; of several texts with one id and language the least may be learned from; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.functions import arrow_udf
 
-from .common import crc_fold, table
+from .common import crc_fold, materialize, table
 
 DIM = 4096
 #: The bound of the fitting sample of one language.
 SAMPLE = 300
+#: Parts of a language in which its sample is looked for before they meet.
+GROUPS = 64
 CLUSTERS, RADIUS, SHARPNESS = 3, 1.5, 25.0
 UNKNOWN = "und"
 
@@ -118,10 +120,18 @@ class LanguageModel:
         return self.langs[self.owner[at]], float(score), float(1 - near[at]), bool(1 - near[at] > self.bound[at])
 
 
+def sampled(texts: DataFrame) -> DataFrame:
+    """(lang, doc_id): the SAMPLE ids of least hash of each language, found in GROUPS parts of a language first."""
+    rows = texts.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
+    for key in (["lang", F.pmod("h", F.lit(GROUPS))], ["lang"]):
+        order = Window.partitionBy(*key).orderBy("h", "doc_id")
+        rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
+    return rows.select("lang", "doc_id")
+
+
 def centroids_of(texts: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, centroids, bounds) of every language, by lang; only these reach the driver, the sample of a language meets in one task."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = texts.select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
+    ids = materialize(sampled(texts), "sample")  # a table of known size: Spark sends it to the texts if it is small, as it is for some hundred languages
 
     def fitted(lang: str, counts: list[np.ndarray]) -> pa.RecordBatch:
         x = np.array([vector(c, idf) for c in sorted(counts, key=lambda c: c.tobytes())])
@@ -144,7 +154,7 @@ def centroids_of(texts: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarra
         if counts:
             yield fitted(own, counts)
 
-    chosen = texts.join(ids.select("lang", "doc_id"), ["lang", "doc_id"]).where("text IS NOT NULL").dropDuplicates(["lang", "doc_id"])
+    chosen = texts.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     dealt = chosen.select("lang", "text").repartition("lang").sortWithinPartitions("lang")
     rows = dealt.mapInArrow(run, "lang string, centroids binary, bounds binary").collect()
     return sorted(((r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM), np.frombuffer(r["bounds"])) for r in rows), key=lambda x: x[0])
