@@ -141,8 +141,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: i
 def vote_patterns(frame: DataFrame, stats: str = "stats") -> tuple[list[tuple[tuple[int, ...], int]], list[str]]:
     """The histogram of vote patterns over all rows; its size depends on the number of rules only."""
     votes = rules(stats)
-    rows = frame.select(F.array(*votes.values()).alias("votes")).groupBy("votes").count().collect()
-    return sorted((tuple(r["votes"]), r["count"]) for r in rows), list(votes)
+    return pattern_counts(frame.select(F.array(*votes.values()).alias("votes"))), list(votes)
+
+
+def pattern_counts(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    return sorted((tuple(r["votes"]), r["count"]) for r in voted.groupBy("votes").count().collect())
 
 
 def base_failed(s: str = "stats") -> Column:
@@ -150,9 +153,13 @@ def base_failed(s: str = "stats") -> Column:
 
 
 def posterior(model: LabelModel, stats: str = "stats") -> Column:
-    """The model's probability that a document is good, as a column expression over its votes."""
+    """The model's probability that a document is good, as a column expression over its statistics."""
+    return posterior_of(model, list(rules(stats).values()))
+
+
+def posterior_of(model: LabelModel, votes: list[Column]) -> Column:
     odds = F.lit(math.log(model.good / (1 - model.good)))
-    for name, v in rules(stats).items():
+    for name, v in zip(model.names, votes):
         bad, good = model.table[name]
         odds = odds + F.element_at(F.array(*[F.lit(math.log(g / b)) for b, g in zip(bad, good)]), v + 2)
     return 1 / (1 + F.exp(-odds))
@@ -166,11 +173,13 @@ def judge(frame: DataFrame, threshold: float = 0.5, stats: str = "stats") -> Dat
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    rows = docs.select(F.struct("*").alias("row"), stats_column(content(text_col)).alias("stats"))
-    patterns, names = vote_patterns(rows)
-    model = fit(patterns, names)
-    return rows.where(~base_failed() & (posterior(model) >= threshold)).select("row.*")
+    """The rows of docs that are kept, with their own columns. The texts are read once: rows that pass the base test are written beside the
+    votes of all."""
+    rows = docs.select(F.struct("*").alias("row"), stats_column(content(text_col)).alias("stats")).withColumn("failed", base_failed())
+    names = list(rules())
+    voted = materialize(rows.select(F.when(~F.col("failed"), F.col("row")).alias("row"), "failed", F.array(*rules().values()).alias("votes")), "voted")
+    model = fit(pattern_counts(voted), names)
+    return voted.where(~F.col("failed") & (posterior_of(model, [F.col("votes")[i] for i in range(len(names))]) >= threshold)).select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
