@@ -34,18 +34,19 @@ def _path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, with its scheme. It is removed when the scope it is made in ends, or with the driver."""
+def workspace(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A fresh path below the shared folder, with its scheme. It is removed when the scope it is made in (or, if ``outer``, the one
+    around it) ends, or with the driver."""
     place, system = _path(spark, f"{shared_dir(spark)}/veilspark-{name}-{uuid.uuid4().hex}")
     path = system.makeQualified(place).toString()
-    _made[-1].append((spark, path))
+    _made[-2 if outer and len(_made) > 1 else -1].append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back. Lost executors
     then cost a re-read, never a recomputation."""
-    path = workspace(df.sparkSession, name)
+    path = workspace(df.sparkSession, name, outer)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
