@@ -102,6 +102,33 @@ def test_op6_chains_in_a_large_cluster(spark, monkeypatch, block):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_near(table)
 
 
+def test_op6_very_long_texts_make_blocks_by_weight(spark, monkeypatch):
+    monkeypatch.setattr(op6_minhash, "WEIGHT", 2000)
+    table = near_cluster(60, 3)
+    got = op6_minhash.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_near(table)
+
+
+def test_op6_repeated_ids(spark):
+    """One id 2000 times with one text, and one id with two texts: what each of them links to is named by that id, and by nothing else."""
+    a, b, c = prose(60, 100), prose(61, 100), prose(62, 100)
+    table = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (9, c + " more"), (8, c), *[(7, c)] * 2000, (7, prose(63, 100)), (5, a)]
+    got = op6_minhash.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3))
+    want = Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (9, 7, False): 1, (8, 7, False): 1, (7, 7, True): 2001, (5, 1, False): 1})
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()) == want
+    facts = spark.createDataFrame([(1, 5, 1, 10), (2, 5, 1, 10), (3, 6, 1, 10), (4, 6, 1, 10)], "node bigint, label bigint, cluster bigint, n_shingles bigint")
+    assert op6_minhash.units_of(facts).count() == 4  # small groups share one block
+
+
+def test_op6_blocks_of_one_large_group_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(op6_minhash, "BLOCK", 10)
+    members = spark.createDataFrame([(i, 0 if i < 100 else i, 0, 5) for i in range(104)], "node bigint, label bigint, cluster bigint, n_shingles bigint")
+    units = op6_minhash.units_of(members).collect()
+    pairs = {(u["i"], u["j"]) for u in units}
+    assert len(pairs) == 11 and all("-/0" in p for p in pairs)  # the four others among themselves and with each of ten blocks
+    assert Counter(u["side"] for u in units if u["node"] >= 100) == {"-/0": 44}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7), (None, 3)]
