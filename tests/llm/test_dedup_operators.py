@@ -174,6 +174,21 @@ def test_op3_on_near_copies_and_low_entropy(spark, table_dir):
     assert by_row(got.collect()) == brute_spans(table)
 
 
+def test_op3_a_passage_in_many_texts_makes_no_large_bucket(spark, table_dir, monkeypatch):
+    """The surroundings differ, so that the contexts of the passage's anchors are all distinct."""
+    monkeypatch.setattr(op3_suffix_dedup, "HOT", 20)
+    passage = prose(81, 60)[:260]
+    table = [(i, f"{prose(1000 + i, 12 + i % 30)} {passage} {prose(5000 + i, 12 + i % 25)}") for i in range(300)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string")
+    assert by_row(op3_suffix_dedup.op3_suffix_dedup(spark, table_dir(documents=df)).collect()) == brute_spans(table)
+    raws = [(r[1].encode(), r[1].encode().index(passage.encode()) + 120) for r in table]  # an anchor inside the passage
+    contexts = [(7, at - max(0, at - 152), raw[max(0, at - 152) : at + 200], bytes([i // 256, i % 256]), 1) for i, (raw, at) in enumerate(raws)]
+    heavy = spark.createDataFrame(contexts, "bucket bigint, off int, ctx binary, digest binary, n bigint")
+    done, cuts = op3_suffix_dedup.parts_of_hot(heavy)
+    size = Counter(r["bucket"] for r in done.collect())
+    assert len(cuts) > 1 and max(size.values()) <= 20
+
+
 def test_remove_repeats_keeps_rows_columns_and_characters(spark, docs):
     out = op3_suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns

@@ -6,8 +6,10 @@ must meet in one bucket, and buckets must stay small however large the corpus:
 1. *Anchors*: each LENGTH-byte string names the place in it whose ``GRAM``-byte hash is least. Equal strings name equal places,
    so a suffix's bucket is the hash at its anchor. A string whose anchor hash occurs once in the corpus is not repeated; only
    the others go on.
-2. *Buckets*: the text around each remaining anchor travels to its bucket. A hash that occurs over ``HOT`` times is split by
-   groups of ``STEP`` neighbouring starts and by the content that all of a group share, and equal texts are combined before they travel.
+2. *Buckets*: the text around each remaining anchor travels to its bucket. A hash that occurs over ``HOT`` times is split: equal
+   contexts are combined, then cut in groups of neighbouring starts, and the content that all strings of a group share names its
+   bucket. A bucket that still has over ``HOT`` distinct contexts is split again in smaller groups, down to single starts (``STEPS``), where
+   a bucket has one context. So no bucket holds over ``HOT`` contexts, however many texts share a passage.
 3. *Sorting*: each task takes bucket after bucket, in blocks of bounded size, and sorts their suffixes by difference
    cover (see ``suffixes``). Neighbours that agree over LENGTH bytes are repeated strings.
 4. The spans go back to their texts, and from there to all rows with that text. Copies of a whole text are counted before
@@ -27,14 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import content, materialize, table
+from .common import content, each_salt, materialize, salt_of, salts_met, spread, table
 from .suffixes import repeated, repeated_pairs
 
 LENGTH, GRAM = 200, 48
-#: Places of an anchor hash in the corpus beyond which its bucket is split, and the starts in one group of a split bucket.
-HOT, STEP = 2000, 16
+#: Contexts beyond which a bucket is split, and the starts in one group of a bucket split once, twice, three times.
+HOT, STEPS = 2000, (16, 4, 1)
 #: Bytes of text hashed at a time, and of context sorted at a time.
 CHUNK, BLOCK = 1 << 17, 1 << 20
 _random = np.random.default_rng(20240503)
@@ -158,25 +161,31 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows)
 
 
-PART = "bucket bigint, off int, ctx binary, uid bigint, start bigint, n bigint, digest binary"
-_PART = pa.schema([("bucket", pa.int64()), ("off", pa.int32()), ("ctx", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+CUT = "bucket bigint, off int, ctx binary, digest binary, part_of binary, at bigint, n bigint"
+_CUT = pa.schema([("bucket", pa.int64()), ("off", pa.int32()), ("ctx", pa.binary()), ("digest", pa.binary()), ("part_of", pa.binary()), ("at", pa.int64()), ("n", pa.int64())])
 
 
-def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts each distinct context (bucket, off, ctx, digest, n) of a hot anchor in groups of STEP starts, counted from the anchor. The bucket
-    of a group is the hash of the bytes that all its strings share, so equal strings still meet."""
-    for batch in batches:
-        rows = []
-        for bucket, off, ctx, digest, n in zip(*(c.to_pylist() for c in batch.columns)):
-            lo, hi = 0, len(ctx) - LENGTH
-            while lo <= hi:
-                group = (off - lo) // STEP
-                stop, core = min(hi, off - group * STEP), off - group * STEP
-                shared = ctx[core : core - STEP + 1 + LENGTH]
-                rows.append((xxhash.xxh3_64_intdigest(shared, seed=(bucket + group) % 2**64) - 2**63, off - lo, ctx[lo : stop + LENGTH], None, lo, n, digest))
-                lo = stop + 1
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART)], schema=_PART)
+def split(step: int):
+    """Cuts contexts (bucket, off, ctx, digest, n) in groups of ``step`` starts, counted from the anchor. The bucket of a group is the hash of
+    the bytes that all its strings share, so equal strings still meet; part_of and at: the context that it was cut from, and where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for bucket, off, ctx, digest, n in zip(*(c.to_pylist() for c in batch.columns)):
+                lo, hi = 0, len(ctx) - LENGTH
+                while lo <= hi:
+                    group = (off - lo) // step
+                    stop, core = min(hi, off - group * step), off - group * step
+                    shared = ctx[core : core - step + 1 + LENGTH]
+                    own, held = xxhash.xxh3_64_intdigest(shared, seed=(bucket + group) % 2**64) - 2**63, ctx[lo : stop + LENGTH]
+                    key = xxhash.xxh3_128_digest(held + (off - lo).to_bytes(2, "little") + own.to_bytes(8, "little", signed=True))
+                    rows.append((own, off - lo, held, key, digest, lo, n))
+                    lo = stop + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT)], schema=_CUT)
+
+    return run
 
 
 RUN = "uid bigint, digest binary, lo bigint, hi bigint"
@@ -285,49 +294,88 @@ def text_key(text_col: str) -> Column:
     return F.substring(F.unhex(F.sha2(content(text_col), 256)), 1, 16)
 
 
-def repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, text, starts) of the distinct texts that hold repeated strings; starts: runs of their first bytes. key is ``text_key``."""
-    long = docs.select(text_key(text_col).alias("key"), content(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
-    hashes = materialize(long.mapInArrow(anchor_hashes, "key binary, h bigint, n bigint"), "anchors")
-    again = hashes.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1")
-    listed = hashes.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("total") > HOT, F.col("h"))).alias("hot"))
-    texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))  # copies meet before they travel
+def parts_of_hot(heavy: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The contexts (bucket, off, ctx, digest, n) that heavy ones are cut into, none of whose buckets is crowded, and for each round of
+    cutting what was cut from what (digest, part_of, at)."""
+    done, cuts = None, []
+    for step in STEPS:
+        cut = materialize(heavy.mapInArrow(split(step), CUT), "cut")
+        cuts.append(cut.select("digest", "part_of", "at"))
+        combined = cut.groupBy("bucket", "off", "ctx", "digest").agg(F.sum("n").alias("n"))
+        distinct = cut.select("bucket", "digest").distinct()
+        crowded = distinct.groupBy("bucket").agg(F.count("*").alias("contexts"), salts_met(salt_of("digest")).alias("met")).where(F.col("contexts") > HOT)
+        crowded = materialize(crowded, "crowded")
+        last = step == STEPS[-1] or crowded.isEmpty()
+        if not last:
+            flags = crowded.select("bucket", each_salt(F.col("met")).alias("salt"), F.lit(True).alias("again"))
+            combined = materialize(combined.withColumn("salt", salt_of("digest")).join(flags, ["bucket", "salt"], "left").drop("salt"), "combined")
+            heavy, combined = combined.where("again").drop("again"), combined.where("again IS NULL").drop("again")
+        done = combined if done is None else done.unionByName(combined)
+        if last:
+            break
+    return done, cuts
+
+
+def runs_of_hot(found: DataFrame, cuts: list[DataFrame], where: DataFrame) -> DataFrame:
+    """(uid, runs) of the runs (digest, lo, hi) found in parts of hot contexts: from part to whole, and from there to all texts
+    that hold it (digest, uid, start)."""
+    runs = found
+    for cut in reversed(cuts):
+        per_part = runs.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # under LENGTH runs each
+        up = spread(cut, per_part, "digest", "part_of").select(F.col("part_of").alias("digest"), "at", F.explode("runs").alias("r"))
+        up = up.select("digest", (F.col("r.lo") + F.col("at")).alias("lo"), (F.col("r.hi") + F.col("at")).alias("hi"))
+        runs = up.unionByName(found) if cut is not cuts[0] else up
+    per_context = runs.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return spread(where, per_context, "digest", "uid").select("uid", F.expr("transform(runs, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("runs"))
+
+
+def repeats(docs: DataFrame, text_col: str = "text", by: Column | None = None) -> DataFrame:
+    """(key, text, starts, met) of the distinct texts that hold repeated strings; starts: runs of their first bytes. key is ``text_key``,
+    met notes the salts ``by`` of the rows with that text."""
+    long = docs.select(text_key(text_col).alias("key"), content(text_col).alias("text"), (F.lit(0) if by is None else by).alias("salt")).where(F.octet_length("text") >= LENGTH)
+    hashes = materialize(long.select("key", "text").mapInArrow(anchor_hashes, "key binary, h bigint, n bigint"), "anchors")
+    salted = hashes.withColumn("salt", salt_of("key"))
+    again = salted.groupBy("h").agg(F.sum("n").alias("total"), salts_met(F.col("salt")).alias("met")).where("total > 1")
+    listed = salted.join(again.select("h", "total", each_salt(F.col("met")).alias("salt")), ["h", "salt"])
+    listed = listed.groupBy("key").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("total") > HOT, F.col("h"))).alias("hot"))
+    texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"), salts_met(F.col("salt")).alias("met"))  # copies meet before they travel
     flagged = materialize(texts.join(listed, "key").withColumn("uid", F.monotonically_increasing_id()), "flagged")
     parts = materialize(flagged.select("uid", "text", "hashes", "hot", "copies").mapInArrow(pieces, PIECE), "contexts")
-    order = ["bucket", "off", "ctx", "uid", "start", "n", "digest"]
-    few = parts.where("NOT hot AND ctx IS NOT NULL").withColumn("n", F.lit(1).cast("bigint")).select(order)
+    few = parts.where("NOT hot AND ctx IS NOT NULL").select("bucket", "off", "ctx", "uid", "start", F.lit(1).cast("bigint").alias("n"), "digest")
     heavy = parts.where("hot").groupBy("bucket", "off", "ctx", "digest").agg(F.count("*").alias("n"))  # equal contexts meet before they are cut
-    heavy = heavy.select("bucket", "off", "ctx", "digest", "n").mapInArrow(split, PART)
+    heavy, cuts = parts_of_hot(heavy.select("bucket", "off", "ctx", "digest", "n"))
+    heavy = heavy.select("bucket", "off", "ctx", F.lit(None).cast("bigint").alias("uid"), F.lit(0).cast("bigint").alias("start"), "n", "digest")
     found = materialize(few.unionByName(heavy).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, RUN), "runs")
-    where = parts.where("hot AND uid IS NOT NULL").select("digest", "uid", "start")
-    per_context = found.where("digest IS NOT NULL").groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # under LENGTH runs each
-    spread = per_context.join(where, "digest").select("uid", F.expr("transform(runs, r -> struct(r.lo + start AS lo, r.hi + start AS hi))").alias("runs"))
+    hot = runs_of_hot(found.where("digest IS NOT NULL").select("digest", "lo", "hi"), cuts, parts.where("hot AND uid IS NOT NULL").select("digest", "uid", "start"))
     plain = found.where("digest IS NULL").select("uid", "lo", "hi").unionByName(parts.where("ctx IS NULL").select("uid", F.col("start").alias("lo"), "hi"))
     plain = plain.select("uid", F.array(F.struct("lo", "hi")).alias("runs"))
     all_of_it = F.struct(F.lit(0).cast("bigint").alias("lo"), (F.octet_length("text") - LENGTH).cast("bigint").alias("hi"))
     whole = flagged.where("copies > 1").select("uid", F.array(all_of_it).alias("runs"))
-    per_text = plain.unionByName(spread).unionByName(whole).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("starts"))
-    return flagged.select("uid", "key", "text").join(per_text, "uid").drop("uid")
+    per_text = plain.unionByName(hot).unionByName(whole).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("starts"))
+    return flagged.select("uid", "key", "text", "met").join(per_text, "uid").drop("uid")
 
 
-def changed(docs: DataFrame, text_col: str) -> DataFrame:
-    """key and the result c of ``cut``, one row for each distinct text that loses bytes."""
-    return repeats(docs, text_col).select(F.col("key").alias("changed_key"), cut("text", "starts").alias("c"))
+def changed(docs: DataFrame, text_col: str, by: Column) -> DataFrame:
+    """own_key, salt and the result c of ``cut``, for each distinct text that loses bytes and each salt ``by`` of its rows."""
+    found = repeats(docs, text_col, by).select(F.col("key").alias("own_key"), "met", cut("text", "starts").alias("c"))
+    return found.select("own_key", "c", each_salt(F.col("met")).alias("salt"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with their repeated passages removed from the text; all other columns as they are."""
-    new = changed(docs, text_col).select("changed_key", F.col("c.kept_text").alias("kept_text"))
-    rows = docs.select(F.struct("*").alias("row"), text_key(text_col).alias("own_key"))
-    met = rows.join(new, F.col("own_key") == F.col("changed_key"), "left")
-    return met.select(*[F.when(F.col("changed_key").isNotNull(), F.col("kept_text")).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    told = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text_col and isinstance(f.dataType, T.AtomicType)]
+    by = salt_of(*told) if told else F.lit(0)
+    new = changed(docs, text_col, by).select("own_key", "salt", F.col("c.kept_text").alias("kept_text"), F.lit(True).alias("is_new"))
+    rows = docs.select(F.struct("*").alias("row"), text_key(text_col).alias("own_key"), by.alias("salt"))
+    met = rows.join(new, ["own_key", "salt"], "left")
+    return met.select(*[F.when(F.col("is_new"), F.col("kept_text")).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sha = F.sha2(content(), 256)
-    whole = docs.select("doc_id", F.octet_length(content()).cast("long").alias("n_bytes"), sha.alias("sha"), text_key("text").alias("own_key"))
-    new = changed(docs, "text").select("changed_key", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("new"))
-    met = whole.join(new, F.col("own_key") == F.col("changed_key"), "left")
+    sha, by = F.sha2(content(), 256), salt_of("doc_id")
+    whole = docs.select("doc_id", F.octet_length(content()).cast("long").alias("n_bytes"), sha.alias("sha"), text_key("text").alias("own_key"), by.alias("salt"))
+    new = changed(docs, "text", by).select("own_key", "salt", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("new"))
+    met = whole.join(new, ["own_key", "salt"], "left")
     zero = F.lit(0).cast("long")
     return met.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("new", "sha").alias("kept_sha256"))
