@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialize, table
+from veilspark.llm.common import discard, materialize, scope, table
 from veilspark.llm.op2_quality_rules import keep_good
 from veilspark.llm.op3_suffix_dedup import remove_repeats
 from veilspark.llm.op5_exact_dedup import keep_one
@@ -64,5 +64,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope():
+            kept = materialize(stage(spark, docs, sf_dir), name, outer=True)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
