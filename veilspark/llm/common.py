@@ -54,8 +54,9 @@ def each_salt(met: Column, salts: int = SALTS) -> Column:
 
 
 def spread(rows: DataFrame, verdicts: DataFrame, key: str, *by: str) -> DataFrame:
-    """rows joined with verdicts, unique by key, that are no aggregate of the rows; ``by`` tells the rows of one key apart."""
+    """rows joined with verdicts, unique by key, that are no aggregate of the rows; ``by`` tells the rows of one key apart. The join is
+    the same at every size."""
     salted = rows.withColumn("_salt", salt_of(*by))
     met = salted.groupBy(key).agg(salts_met(F.col("_salt")).alias("_met"))
     each = verdicts.join(met, key).withColumn("_salt", each_salt(F.col("_met"))).drop("_met")
-    return salted.join(each, [key, "_salt"]).drop("_salt")
+    return salted.join(each.hint("merge"), [key, "_salt"]).drop("_salt")

@@ -43,7 +43,7 @@ from .components import connected_components
 ROWS, MISS = 8, 1e-6
 SIGNATURE = 128
 #: Documents and shingles in one side of a comparison unit.
-BLOCK, WEIGHT = 1500, 2_000_000
+BLOCK, WEIGHT = 500, 2_000_000
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _U32, _U29 = np.uint64(32), np.uint64(29)
@@ -269,7 +269,7 @@ def unsettled_units(rest: DataFrame, facts: DataFrame, texts: DataFrame) -> Data
     clusters = connected_components(rest.select("node", "hub"), "node", "hub")
     members = rest.select("node", "label").distinct().join(clusters, "node", "left").select("node", "label", F.coalesce("component", "node").alias("cluster"))
     placed = units_of(members.join(facts.select("node", "n_shingles"), "node"))
-    return placed.join(facts.select("node", "sign"), "node").join(texts, "node")
+    return placed.join(facts.select("node", "sign"), "node").join(texts.hint("merge"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
@@ -297,7 +297,7 @@ def components(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, pe
     facts = materialize(reps.select("node", "rep", "sign", "n_shingles").join(tied, "node"), "tied")
     # one text for each node: of the rows with the id and the text that its set came from
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = rows.join(facts.select("node", "rep.doc_id", "rep.mark"), ["doc_id", "mark"]).groupBy("node").agg(F.min("text").alias("text"))
+    texts = rows.join(facts.select("node", "rep.doc_id", "rep.mark").hint("merge"), ["doc_id", "mark"]).groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts, "texts")
     # ties with the hub
     ends = spread(ties.join(facts.select("node", "sign", "n_shingles"), "node"), facts.select(F.col("node").alias("hub"), F.col("sign").alias("hub_sign"), F.col("n_shingles").alias("hub_n")), "hub", "node")
