@@ -339,7 +339,7 @@ def repeats(docs: DataFrame, text_col: str = "text", by: Column | None = None) -
     listed = salted.join(again.select("h", "total", each_salt(F.col("met")).alias("salt")), ["h", "salt"])
     listed = listed.groupBy("key").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("total") > HOT, F.col("h"))).alias("hot"))
     texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"), salts_met(F.col("salt")).alias("met"))  # copies meet before they travel
-    flagged = materialize(texts.join(listed, "key").withColumn("uid", F.monotonically_increasing_id()), "flagged")
+    flagged = materialize(texts.join(listed.hint("merge"), "key").withColumn("uid", F.monotonically_increasing_id()), "flagged")
     parts = materialize(flagged.select("uid", "text", "hashes", "hot", "copies").mapInArrow(pieces, PIECE), "contexts")
     few = parts.where("NOT hot AND ctx IS NOT NULL").select("bucket", "off", "ctx", "uid", "start", F.lit(1).cast("bigint").alias("n"), "digest")
     heavy = parts.where("hot").groupBy("bucket", "off", "ctx", "digest").agg(F.count("*").alias("n"))  # equal contexts meet before they are cut
@@ -352,7 +352,7 @@ def repeats(docs: DataFrame, text_col: str = "text", by: Column | None = None) -
     all_of_it = F.struct(F.lit(0).cast("bigint").alias("lo"), (F.octet_length("text") - LENGTH).cast("bigint").alias("hi"))
     whole = flagged.where("copies > 1").select("uid", F.array(all_of_it).alias("runs"))
     per_text = plain.unionByName(hot).unionByName(whole).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("starts"))
-    return flagged.select("uid", "key", "text", "met").join(per_text, "uid").drop("uid")
+    return flagged.select("uid", "key", "text", "met").join(per_text.hint("merge"), "uid").drop("uid")  # texts travel alike at every size
 
 
 def changed(docs: DataFrame, text_col: str, by: Column) -> DataFrame:
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by = salt_of(*told) if told else F.lit(0)
     new = changed(docs, text_col, by).select("own_key", "salt", F.col("c.kept_text").alias("kept_text"), F.lit(True).alias("is_new"))
     rows = docs.select(F.struct("*").alias("row"), text_key(text_col).alias("own_key"), by.alias("salt"))
-    met = rows.join(new, ["own_key", "salt"], "left")
+    met = rows.join(new.hint("merge"), ["own_key", "salt"], "left")
     return met.select(*[F.when(F.col("is_new"), F.col("kept_text")).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -376,6 +376,6 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha, by = F.sha2(content(), 256), salt_of("doc_id")
     whole = docs.select("doc_id", F.octet_length(content()).cast("long").alias("n_bytes"), sha.alias("sha"), text_key("text").alias("own_key"), by.alias("salt"))
     new = changed(docs, "text", by).select("own_key", "salt", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("new"))
-    met = whole.join(new, ["own_key", "salt"], "left")
+    met = whole.join(new.hint("merge"), ["own_key", "salt"], "left")
     zero = F.lit(0).cast("long")
     return met.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("new", "sha").alias("kept_sha256"))
