@@ -35,6 +35,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more), that of the smallest id."""
     gone = near_duplicates(docs, percent=NEAR).where("NOT kept").select(F.col("doc_id").alias("gone"))
+    gone = materialize(gone, "gone")  # plain ids of known size: a few are sent to the texts, many meet them in a sorted join
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")  # a row with a null id stays
 
 
