@@ -200,7 +200,7 @@ def test_writers(spark, tmp_path):
 def test_positions_and_running_sums_over_block_edges(spark):
     keys = random.Random(2).sample(range(5000), 700)
     df = spark.createDataFrame([(k, float(k % 7)) for k in keys], "k bigint, v double")
-    out = ordering.with_running_sums(ordering.with_position(df, "k", block=64), "pos", {"total": F.col("v")}, block=50).collect()
+    out = ordering.with_running_sums(ordering.with_position(df, "k"), "pos", {"total": F.col("v")}, block=50).collect()
     total = 0.0
     for i, r in enumerate(sorted(out, key=lambda r: r["k"])):
         total += r["v"]
@@ -228,12 +228,12 @@ def test_noise_distributions(spark):
 def test_detectors():
     r = random.Random(1)
     window = Adwin()
-    quiet = sum(window.add(r.random()) for _ in range(3000))
-    cuts = [i for i in range(3000) if window.add(2 + r.random())]
+    quiet = sum(window.detect(r.random()) for _ in range(3000))
+    cuts = [i for i in range(3000) if window.detect(2 + r.random())]
     assert quiet <= 1 and cuts and cuts[0] < 200 and abs(window.mean - 2.5) < 0.1
     assert window.width == sum((1 << i) * len(row) for i, row in enumerate(window.rows))
     hinkley = PageHinkley(threshold=20)
-    assert not any(hinkley.add(r.random()) for _ in range(500)) and any(hinkley.add(5 + r.random()) for _ in range(50))
+    assert not any(hinkley.detect(r.random()) for _ in range(500)) and any(hinkley.detect(5 + r.random()) for _ in range(50))
 
 
 def test_drift_statistics():

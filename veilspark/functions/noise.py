@@ -61,10 +61,19 @@ def uniform_category(a: Attribute, seed: int, *keys: Column) -> Column:
     return F.element_at(values, (1 + F.floor(uniform(seed, *keys, F.lit(a.name)) * len(a.values))).cast("int"))
 
 
-def kernel_sample(buffered: Column, spread: Column, a: Attribute, seed: int, *keys: Column) -> Column:
-    """A buffered value drawn at random plus a normal step of Scott's width, clamped to the domain."""
-    n = F.size(buffered)
-    center = F.element_at(buffered, (1 + F.floor(uniform(seed, *keys, F.lit("at")) * n)).cast("int"))
+def kernel_place(n: Column, seed: int, *keys: Column) -> Column:
+    """Which of n buffered values, from 1, a kernel draw starts from."""
+    return (1 + F.floor(uniform(seed, *keys, F.lit("at")) * n)).cast("int")
+
+
+def kernel_step(center: Column, n: Column, spread: Column, a: Attribute, seed: int, *keys: Column) -> Column:
+    """That value plus a normal step of Scott's width, clamped to the domain."""
     step = spread * F.pow(n.cast("double"), F.lit(-0.2)) * normal(seed, *keys, F.lit("step"))
     v = F.least(F.greatest(center + step, F.lit(a.lo)), F.lit(a.hi))
     return v.cast("bigint") if a.discrete else v
+
+
+def kernel_sample(buffered: Column, spread: Column, a: Attribute, seed: int, *keys: Column) -> Column:
+    """A kernel draw from an array of values."""
+    n = F.size(buffered)
+    return kernel_step(F.element_at(buffered, kernel_place(n, seed, *keys)), n, spread, a, seed, *keys)

@@ -33,14 +33,22 @@ def running_centroid(x: str, group: list[str], order: str, true_mean: bool = Fal
     return total / n if true_mean else (F.first(x).over(w) + total) / (n + 1)
 
 
-def floored_centroid(df: DataFrame, group: list[str], order: str, x: str) -> DataFrame:
-    """The incremental centroid of whole numbers, each step cut down: a fold over the group's records in order. Groups are
-    clusters, of bounded size."""
-    start = F.struct(F.col("r")[0][x].cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("n"))
-    step = lambda s, r: F.struct(F.floor((s["c"] * (s["n"] + 1) + r[x]) / (s["n"] + 2)).alias("c"), (s["n"] + 1).alias("n"))
-    rest = F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0)))
-    held = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, x))).alias("r"))
-    return held.select(*group, F.aggregate(rest, start, step)["c"].alias("centroid"))
+def floored_centroid(df: DataFrame, group: str, order: str, x: str) -> DataFrame:
+    """The incremental centroid of whole numbers, each step cut down: a fold over the group's records in order, which holds one number."""
+    from .drift import fold_shards
+
+    def step():
+        state = [0, 0]
+
+        def act(v: int) -> list[tuple]:
+            c, n = state
+            state[:] = (v if not n else (c * (n + 1) + v) // (n + 2)), n + 1
+            return [(state[0],)]
+
+        return act
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return fold_shards(df, group, order, [x], step, f"{group} {kinds[group]}, at bigint, centroid bigint", last=True).select(group, "centroid")
 
 
 def frequencies(df: DataFrame, group: list[str], names: list[str]) -> DataFrame:

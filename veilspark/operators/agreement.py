@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import before_block, sorted_blocks
+
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa in percent, from the contingency table."""
@@ -19,8 +21,11 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from counts by score: ties count half. Only the distinct scores are put in order."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    blocks = sorted_blocks(counts, "s")
+    inside = Window.partitionBy("_block").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_below") + F.coalesce(F.sum("q").over(inside), F.lit(0))
+    held = blocks.join(before_block(blocks, _below=F.sum("q")), "_block").withColumn("below", below)
+    won = held.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return won.select(F.round(F.col("won") / (F.col("p").cast("double") * F.col("q")), 9).alias("auc"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..schema import NUMERIC, StreamSchema
+from ..streaming.detectors import PageHinkley
 from .aggregates import centroids
 
 #: c(alpha) of the two-sample Kolmogorov-Smirnov test.
@@ -52,21 +53,17 @@ def centroid_shift(df: DataFrame, pos: str, size: int, schema: StreamSchema, fac
     return whole.join(before, "win").select("win", F.round(change, 9).alias("change"), (F.round(change, 9) > ks_threshold(confidence, size, size)).alias("drift"))
 
 
-def page_hinkley(df: DataFrame, group: list[str], order: str, value: str, delta: float = 0.005, threshold: float = 50.0, alpha: float = 0.9999) -> DataFrame:
-    """The changes found in each group's series: a fold over its values in order, which starts anew after each change. Groups are
-    shards of a stream, each small enough for one row."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sum"), F.expr("CAST(array() AS array<bigint>)").alias("at"))
+def page_hinkley(df: DataFrame, group: str, order: str, value: str, delta: float = 0.005, threshold: float = 50.0, alpha: float = 0.9999) -> DataFrame:
+    """The changes found in each group's series, which starts anew after each; a task holds the sums of one group, not its rows."""
 
-    def step(s: Column, r: Column) -> Column:
-        n = s["n"] + 1
-        mean = (r["x"] + s["mean"] * (n - 1)) / n
-        total = s["sum"] * alpha + r["x"] - mean - delta
-        hit = total > threshold
-        return F.struct(F.when(hit, 0.0).otherwise(n).alias("n"), F.when(hit, 0.0).otherwise(mean).alias("mean"), F.when(hit, 0.0).otherwise(total).alias("sum"), F.when(hit, F.concat(s["at"], F.array(r["o"].cast("bigint")))).otherwise(s["at"]).alias("at"))
+    def step():
+        detector = PageHinkley(delta, threshold, alpha)
+        return lambda x: [()] if detector.detect(x) else []
 
-    folded = df.groupBy(*group).agg(rows.alias("r")).select(*group, F.aggregate("r", zero, step).alias("s"))
-    return folded.select(*group, F.size("s.at").cast("bigint").alias("changes"), F.coalesce(F.get(F.col("s.at"), F.lit(0)), F.lit(-1)).alias("first_change"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    hits = fold_shards(df.withColumn("_x", F.col(value).cast("double")), group, order, ["_x"], step, f"{group} {kinds[group]}, at bigint")
+    found = hits.groupBy(group).agg(F.count("*").alias("changes"), F.min("at").alias("first_change"))
+    return df.select(group).distinct().join(found, group, "left").select(group, F.coalesce("changes", F.lit(0).cast("bigint")).alias("changes"), F.coalesce("first_change", F.lit(-1).cast("bigint")).alias("first_change"))
 
 
 def quadrant_gap(a: np.ndarray, b: np.ndarray) -> float:
@@ -177,20 +174,27 @@ def per_pair(df: DataFrame, columns: list[str], statistics: dict[str, str]) -> D
     return df.select("pair", "tag", *columns).groupBy("pair").applyInPandas(run, "pair bigint, " + ", ".join(f"{k} double" for k in wanted))
 
 
-def fold_shards(df: DataFrame, shard: str, order: str, columns: list[str], step, schema: str) -> DataFrame:
+def fold_shards(df: DataFrame, shard: str, order: str, columns: list[str], step, schema: str, last: bool = False) -> DataFrame:
     """Runs an order-dependent detector along each shard: rows arrive sorted, so a task holds one state and one batch.
 
-    ``step()`` makes a function from a row's values to a list of output tuples; its rows begin with the shard and the order column."""
+    ``step()`` makes a function from a row's values to a list of output tuples; its rows begin with the shard and the order column.
+    last: only what the last row of each shard gives is returned."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, act = object(), None
+        current, act, held = object(), None, []
         for rows in batches:
             out = []
             for values in rows.itertuples(index=False, name=None):
                 if values[0] != current:
-                    current, act = values[0], step()
-                out += [(values[0], values[1], *made) for made in act(*values[2:])]
+                    out += held
+                    current, act, held = values[0], step(), []
+                made = [(values[0], values[1], *x) for x in act(*values[2:])]
+                if last:
+                    held = made
+                else:
+                    out += made
             yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(held, columns=names)
 
     names = [f.split()[0] for f in schema.split(",")]
     dealt = df.select(shard, order, *columns).repartition(shard).sortWithinPartitions(shard, order)

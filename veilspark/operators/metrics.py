@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .ordering import sample_every, with_running_sums
 
+#: Blocks of a series that one task carries a value through.
+SPAN = 1 << 16
+
 
 def mse(pairs: DataFrame, dist: Column) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.round(F.avg(dist * dist), 9).alias("mse"))
@@ -89,7 +92,13 @@ def stale_series(risks: DataFrame, every: int = 100) -> DataFrame:
     run = with_running_sums(risks, "pub_seq", {"total": F.col("risk")})
     block = F.floor((F.col("pub_seq") - 1) / every)
     last = run.groupBy(block.alias("block")).agg(F.max(F.when(F.col("risk") > 0, F.struct("pub_seq", "total"))).alias("hit"), F.count("*").alias("n"))
-    carried = F.last("hit", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    # carried inside spans of SPAN blocks, and from span to span by one row of each
+    span = last.withColumn("span", F.floor(F.col("block") / SPAN))
+    upto = F.last("hit", ignorenulls=True)
+    ends = span.groupBy("span").agg(F.max("hit").alias("end"))
+    ends = ends.select("span", F.last("end", ignorenulls=True).over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    last = span.join(ends, "span")
+    carried = F.coalesce(upto.over(Window.partitionBy("span").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)), "before")
     return last.withColumn("hit", carried).where(F.col("n") == every).select(((F.col("block") + 1) * every).alias("time"), F.round(F.coalesce(F.col("hit.total") / F.col("hit.pub_seq"), F.lit(0.0)), 6).alias("risk"))
 
 

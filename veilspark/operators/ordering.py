@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys or positions in one block; a block is what one task sorts at a time.
+from ..shared import materialize
+
+#: Positions in one block of a running sum; a block is what one task sorts at a time.
 BLOCK = 1 << 16
 
 
-def with_position(df: DataFrame, key: str, name: str = "pos", block: int = BLOCK) -> DataFrame:
-    """df with the position 1..n of each row by an integer key that is unique: the rows of earlier blocks, from a small
-    table of one row for each block, plus the row number inside the block."""
-    cut = F.floor(F.col(key) / F.lit(block)).alias("_block")
-    counts = df.groupBy(cut).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    skips = counts.select("_block", before.alias("_skip"))
-    numbered = df.withColumn("_block", cut).withColumn("_nth", F.row_number().over(Window.partitionBy("_block").orderBy(key)))
-    return numbered.join(skips, "_block").withColumn(name, F.col("_skip") + F.col("_nth")).drop("_block", "_skip", "_nth")
+def sorted_blocks(df: DataFrame, *order: str) -> DataFrame:
+    """df in a global order, written once: ``_block`` is the range of the order that one task sorted, ``_nth`` the place in it, from 1. Ranges
+    are cut by samples of the rows, so sparse and clustered keys make blocks as even as dense ones."""
+    held = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    return held.withColumns({"_block": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND((1 << 33) - 1) + 1}).drop("_id")
+
+
+def before_block(blocks: DataFrame, **sums: Column) -> DataFrame:
+    """(_block, sums over all earlier blocks): one row for each task that sorted, to be broadcast."""
+    totals = blocks.groupBy("_block").agg(*[v.alias(k) for k, v in sums.items()])
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select("_block", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums]))
+
+
+def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """df with the position 1..n of each row by a key that is unique: the rows of earlier blocks plus the place inside the block."""
+    return with_rank(df, key, name=name)
+
+
+def with_rank(df: DataFrame, *order: str, name: str) -> DataFrame:
+    """The same by several columns, which together are unique."""
+    blocks = sorted_blocks(df, *order)
+    return blocks.join(before_block(blocks, _skip=F.count("*")), "_block").withColumn(name, F.col("_skip") + F.col("_nth")).drop("_block", "_skip", "_nth")
 
 
 def with_running_sums(df: DataFrame, pos: str, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
@@ -35,28 +51,21 @@ def sample_every(df: DataFrame, pos: str, n: int = 100) -> DataFrame:
     return df.where(F.col(pos) % n == 0)
 
 
+def _draw(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows in a random but repeatable order, by a hash of their key: ``order_hash`` and the key order them. The sequence column keeps
-    its sorted values; the i-th row of the new order gets the i-th key, in column ``new_key``."""
-    dealt = df.withColumn("_h", F.floor(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 24).cast("bigint")))
-    # the hashes of 40 bits are ranked in blocks; ties fall to the key
-    ranked = with_rank(dealt, "_h", key, "_pos")
+    """Rows in a random but repeatable order, by the MD5 of seed and key. The sequence column keeps its sorted values: the i-th row of the
+    new order gets the i-th key, in column ``new_key``."""
+    ranked = with_rank(df.withColumn("_h", _draw(key, seed)), "_h", key, name="_pos")
     keys = with_position(df.select(F.col(key).alias("new_key")), "new_key", "_pos")
     return ranked.join(keys, "_pos").drop("_pos", "_h")
 
 
-def with_rank(df: DataFrame, major: str, minor: str, name: str, blocks: int = 1 << 24) -> DataFrame:
-    cut = F.floor(F.col(major) / F.lit(blocks))
-    counts = df.groupBy(cut.alias("_block")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    skips = counts.select("_block", before.alias("_skip"))
-    numbered = df.withColumn("_block", cut).withColumn("_nth", F.row_number().over(Window.partitionBy("_block").orderBy(major, minor)))
-    return numbered.join(skips, "_block").withColumn(name, F.col("_skip") + F.col("_nth")).drop("_block", "_skip", "_nth")
-
-
 def reinsert_duplicates(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """df and a repeatable sample of floor(n * fraction) of its rows again, with new keys after the last one."""
     size = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_take"), F.max(key).alias("_last"))
-    ranked = with_rank(df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 24).cast("bigint")), "_h", key, "_r")
+    ranked = with_rank(df.withColumn("_h", _draw(key, seed)), "_h", key, name="_r")
     again = ranked.join(F.broadcast(size), F.col("_r") <= F.col("_take"))  # one row of totals
     return df.unionByName(again.withColumn(key, F.col("_last") + F.col("_r")).select(df.columns))

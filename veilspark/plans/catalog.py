@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AnonymizerConfig, sweep
@@ -245,7 +245,7 @@ r AS (SELECT o_custkey, n, x AS c FROM o WHERE n = 1 UNION ALL SELECT o.o_custke
 SELECT o_custkey, max_by(c, n) AS centroid FROM r GROUP BY 1""")
 def centroid_floored(spark, d):
     whole = orders(spark, d).select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("x"))
-    return A.floored_centroid(whole, ["o_custkey"], "o_orderkey", "x")
+    return A.floored_centroid(whole, "o_custkey", "o_orderkey", "x")
 
 
 @query("""SELECT o_custkey, 'o_orderstatus' AS attr, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL
@@ -495,7 +495,7 @@ r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS n, CAST(0 AS
       SELECT r.user_id, e.i, r.n + 1 AS n, (e.x + r.m * r.n) / (r.n + 1) AS m, r.s, e.x, e.event_id FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
 SELECT user_id, count(hit) AS changes, coalesce(min(hit), -1) AS first_change FROM r GROUP BY user_id""")
 def page_hinkley(spark, d):
-    return C.page_hinkley(table(spark, d, "events"), ["user_id"], "event_id", "value")
+    return C.page_hinkley(table(spark, d, "events"), "user_id", "event_id", "value")
 
 
 _PT = f"{_W.format(100)}, f AS (SELECT t.pair, t.tag, t.value AS x, CAST(t.user_id AS DOUBLE) AS y FROM t WHERE pair BETWEEN 1 AND (SELECT max(win) FROM w))"
@@ -537,7 +537,7 @@ def adwin_changes(spark, d):
 
     def step():
         window = detectors.Adwin()
-        return lambda x: [(window.width, window.mean)] if window.add(x) else []
+        return lambda x: [(window.width, window.mean)] if window.detect(x) else []
 
     rising = table(spark, d, "events").withColumn("x", F.col("value") + F.col("event_id") * 0.05)
     return C.fold_shards(rising, "event_type", "event_id", ["x"], step, "event_type string, event_id bigint, width bigint, mean double")
@@ -601,16 +601,16 @@ for _name in ("sgd", "naive_bayes", "hoeffding_adaptive_tree", "leveraging_bag",
 # order, sampling, noise ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS rows_kept, count(DISTINCT o_orderkey) AS keys_kept FROM orders")
+@query("""SELECT o_orderkey, new_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5:' || o_orderkey), o_orderkey) AS i FROM orders)
+JOIN (SELECT o_orderkey AS new_key, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)""")
 def shuffle_hash(spark, d):
-    out = O.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5)
-    return out.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("rows_kept"), F.countDistinct("new_key").alias("keys_kept"))
+    return O.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5).select("o_orderkey", "new_key")
 
 
-@query("""SELECT count(*) + floor(count(*) * 0.1)::BIGINT AS n, count(*) + floor(count(*) * 0.1)::BIGINT AS keys, max(o_orderkey) + floor(count(*) * 0.1)::BIGINT AS last FROM orders""")
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY md5('5:' || o_orderkey), o_orderkey) AS r, count(*) OVER () AS n, max(o_orderkey) OVER () AS last FROM orders)
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders UNION ALL SELECT last + r, o_custkey, o_totalprice FROM r WHERE r <= floor(n * 0.1)""")
 def duplicates_reinserted(spark, d):
-    out = O.reinsert_duplicates(table(spark, d, "orders"), "o_orderkey", 0.1, 5)
-    return out.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.max("o_orderkey").alias("last"))
+    return O.reinsert_duplicates(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 0.1, 5)
 
 
 @query("""WITH w AS (SELECT o_orderkey, o_custkey, max(o_totalprice) OVER u - min(o_totalprice) OVER u AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders
@@ -640,10 +640,13 @@ def noise_categorical(spark, d):
 @query()
 def suppression(spark, d):
     """A uniform and a kernel draw for the price, a uniform one for the status, per order; the kernel is over the customer's prices."""
-    held = orders(spark, d).groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_totalprice")).alias("held"), F.coalesce(F.stddev_pop("o_totalprice"), F.lit(0.0)).alias("spread"))
-    key = F.col("o_orderkey")
-    o = orders(spark, d).join(held, "o_custkey")
-    return o.select("o_orderkey", N.uniform_in_domain(PRICE, 7, key).alias("uniform"), N.kernel_sample(F.col("held"), F.col("spread"), PRICE, 7, key).alias("kernel"), N.uniform_category(STATUS, 7, key).alias("status"))
+    o, key = orders(spark, d), F.col("o_orderkey")
+    held = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop("o_totalprice"), F.lit(0.0)).alias("spread"))
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"))
+    prices = o.select("o_custkey", nth.alias("at"), F.col("o_totalprice").alias("center"))
+    drawn = o.join(held, "o_custkey").withColumn("at", N.kernel_place(F.col("n"), 7, key)).join(prices, ["o_custkey", "at"])
+    kernel = N.kernel_step(F.col("center"), F.col("n"), F.col("spread"), PRICE, 7, key)
+    return drawn.select("o_orderkey", N.uniform_in_domain(PRICE, 7, key).alias("uniform"), kernel.alias("kernel"), N.uniform_category(STATUS, 7, key).alias("status"))
 
 
 # the exact anonymizer ------------------------------------------------------------------------------------------------

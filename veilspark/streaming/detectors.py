@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import math
+from typing import Protocol
+
+
+class Detector(Protocol):
+    """Takes a stream's values one by one and tells of each whether the stream has changed there."""
+
+    def detect(self, x: float) -> bool: ...
+
+    def threshold(self) -> float:
+        """The bound that the next change must exceed."""
+        ...
 
 
 class Adwin:
     """A window that grows while its mean is steady and loses its old part where two parts differ.
 
     An exponential histogram: rows of at most ``per_row`` buckets, a bucket of row i summing up 2^i values. Every ``clock`` values the
-    cuts between buckets, newest part first, are tested by the bound for means of sub-windows of ``least`` values or more."""
+    cuts between buckets, oldest part first, are tested by the bound for means of sub-windows of ``least`` values or more, or with
+    ``strict`` of more than ``least`` + 1, which is the second variant; the first has a clock of 16."""
 
-    def __init__(self, delta: float = 0.002, per_row: int = 5, clock: int = 32, shortest: int = 10, least: int = 5):
-        self.delta, self.per_row, self.clock, self.shortest, self.least = delta, per_row, clock, shortest, least
+    def __init__(self, delta: float = 0.002, per_row: int = 5, clock: int = 32, shortest: int = 10, least: int = 5, strict: bool = False):
+        self.delta, self.per_row, self.clock, self.shortest, self.least, self.strict = delta, per_row, clock, shortest, least, 2 * strict
         self.rows: list[list[tuple[float, float]]] = [[]]  # (sum, squared deviations) of each bucket, oldest first
         self.width, self.total, self.spread, self.seen, self.detections = 0, 0.0, 0.0, 0, 0
 
@@ -20,7 +32,18 @@ class Adwin:
     def mean(self) -> float:
         return self.total / self.width if self.width else 0.0
 
-    def add(self, x: float) -> bool:
+    def threshold(self) -> float:
+        """The bound of a difference between two halves of the window."""
+        if self.width < 2 * self.least:
+            return math.inf
+        n = self.width / 2 - self.least + 1
+        return self._bound(2 / n)
+
+    def _bound(self, m: float) -> float:
+        d = math.log(2 * math.log(self.width) / self.delta)
+        return math.sqrt(2 * m * self.spread / self.width * d) + 2 / 3 * d * m
+
+    def detect(self, x: float) -> bool:
         """Takes a value; whether the window was cut."""
         self.seen += 1
         if self.width:
@@ -48,18 +71,16 @@ class Adwin:
 
     def _differs(self) -> bool:
         n0, s0 = 0, 0.0
-        d = math.log(2 * math.log(self.width) / self.delta)
-        v = self.spread / self.width
         for i in range(len(self.rows) - 1, -1, -1):
             for s, _ in self.rows[i]:
                 n0, s0 = n0 + (1 << i), s0 + s
                 n1 = self.width - n0
-                if n1 < self.least:
+                if n1 < self.least + self.strict:
                     return False
-                if n0 < self.least:
+                if n0 < self.least + self.strict:
                     continue
                 m = 1 / (n0 - self.least + 1) + 1 / (n1 - self.least + 1)
-                if abs(s0 / n0 - (self.total - s0) / n1) > math.sqrt(2 * m * v * d) + 2 / 3 * d * m:
+                if abs(s0 / n0 - (self.total - s0) / n1) > self._bound(m):
                     return True
         return False
 
@@ -81,14 +102,17 @@ class PageHinkley:
     """A faded running sum of deviations above the mean; a change restarts it."""
 
     def __init__(self, delta: float = 0.005, threshold: float = 50.0, alpha: float = 0.9999):
-        self.delta, self.threshold, self.alpha = delta, threshold, alpha
+        self.delta, self.limit, self.alpha = delta, threshold, alpha
         self.n, self.mean, self.sum = 0, 0.0, 0.0
 
-    def add(self, x: float) -> bool:
+    def threshold(self) -> float:
+        return self.limit
+
+    def detect(self, x: float) -> bool:
         self.n += 1
-        self.mean += (x - self.mean) / self.n
+        self.mean = (x + self.mean * (self.n - 1)) / self.n
         self.sum = self.sum * self.alpha + x - self.mean - self.delta
-        if self.sum > self.threshold:
+        if self.sum > self.limit:
             self.n, self.mean, self.sum = 0, 0.0, 0.0
             return True
         return False

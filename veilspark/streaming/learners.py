@@ -132,7 +132,7 @@ class HoeffdingTree:
             wrong = float(not scores or max(scores, key=scores.get) != y)
             for i, node in enumerate(path[:-1]):
                 old = node["error"].mean
-                if node["error"].add(wrong) and node["error"].mean > old:
+                if node["error"].detect(wrong) and node["error"].mean > old:
                     self._replace(path[i - 1] if i else None, node, _Leaf(node["depth"]))
                     return
         leaf.model.learn(x, y, weight)
@@ -206,7 +206,7 @@ class Bag:
         worst = False
         for i, m in enumerate(self.members):
             scores = m.predict(x)
-            worst |= self.errors[i].add(float(not scores or max(scores, key=scores.get) != y))
+            worst |= self.errors[i].detect(float(not scores or max(scores, key=scores.get) != y))
             if n := self._poisson():
                 m.learn(x, y, n * weight)
         if worst:
