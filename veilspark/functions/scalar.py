@@ -24,6 +24,25 @@ def typed(a: Attribute, v: Column) -> Column:
     return v.cast("bigint") if a.discrete else v.cast("double")
 
 
+def valid(a: Attribute, v: Column) -> Column:
+    """Whether a value may be published: a number that is finite, whole if the attribute is discrete, and within the domain; else one of the
+    declared values, if any are."""
+    if a.kind != NUMERIC:
+        return F.coalesce(v.isin(*a.values) if a.values else v.isNotNull(), F.lit(False))
+    x = v.cast("double")
+    ok = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    if a.discrete:
+        ok &= x == F.floor(x)
+    if a.lo is not None and a.hi is not None:
+        ok &= x.between(float(a.lo), float(a.hi))
+    return F.coalesce(ok, F.lit(False))
+
+
+def published(a: Attribute, v: Column) -> Column:
+    """The value as published; one that is not valid stops the job."""
+    return F.when(valid(a, v), typed(a, v)).otherwise(F.raise_error(F.concat(F.lit(f"{a.name}: not to be published: "), F.coalesce(v.cast("string"), F.lit("null")))).cast(a.spark_type))
+
+
 def clamp(a: Attribute, v: Column) -> Column:
     return typed(a, F.least(F.greatest(v, F.lit(a.lo)), F.lit(a.hi)))
 

@@ -21,10 +21,14 @@ from ..operators import ordering as O
 from ..operators import report as R
 from ..operators.smoothing import smoothed
 from ..schema import NOMINAL, ORDINAL, Attribute, StreamSchema, numeric_stats
+from ..shared import workspace
+from ..sources import readers as Q
+from ..sources import writers as W
 from ..streaming import detectors
 from ..streaming.batch import anonymize
 from ..streaming.buffered import knn_anonymize
 from ..streaming.learners import Prequential
+from .grouping_sql import grouping_sql
 from .single_cluster import single_cluster
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,7 +663,23 @@ def _kernel(cfg: AnonymizerConfig, schema: StreamSchema) -> Query:
     return run
 
 
-QUERIES["microagg_exact"] = _kernel(AnonymizerConfig(k=20, threshold=0.15, delta=20000), MIXED)
+
+
+def _grouped(cfg: AnonymizerConfig) -> Query:
+    """The kernel over several open groups; the suppressed values of nominal attributes are random draws and not listed."""
+
+    def run(spark, d):
+        out = _kernel(cfg, MIXED)(spark, d)
+        shown = lambda n: F.when(F.col("status") == 0, F.col(f"anon_{n}"))
+        return out.select("shard", "seq", "publish_time", "pub_seq", "cluster", "status", F.round(F.col("anon_o_totalprice") + 1e-6, 3).alias("price"), F.col("anon_o_custkey").alias("cust"),
+                          shown("o_rank").alias("rank"), shown("o_orderstatus").alias("status_value"))
+
+    return run
+
+
+for _name, _cfg in (("microagg_exact", AnonymizerConfig(k=20, threshold=0.15, delta=20000)), ("microagg_delta", AnonymizerConfig(k=5, l=3, c=2.0, threshold=0.1, delta=400)), ("microagg_gap_rule", AnonymizerConfig(k=5, threshold=0.12, delta=600, gap=True))):
+    QUERIES[_name] = _grouped(_cfg)
+    ORACLES[_name] = grouping_sql(_cfg.k, _cfg.l, _cfg.c, _cfg.threshold, _cfg.delta, _cfg.gap, 16)
 QUERIES["microagg_noisy"] = _kernel(AnonymizerConfig(k=20, threshold=0.3, noise="laplace", eps=1.0, drift="ks", suppress="kernel"), ORDERS)
 QUERIES["microagg_gap"] = _kernel(AnonymizerConfig(k=20, threshold=0.15, delta=2000, gap=True, drift="centroid", noise="one_sided", sensitivity="observed", suppress="uniform"), MIXED)
 
@@ -705,5 +725,105 @@ def series_smoothed(spark, d):
     return smoothed(held, "run", "mse")
 
 
+# sources and sinks: what is written is read back ----------------------------------------------------------------------
+
+_ORDER_ROWS = "SELECT o_orderkey, o_totalprice, o_custkey, substr(o_orderpriority, 1, 1) AS o_rank, o_orderstatus, o_orderpriority FROM orders"
+
+
+def _order_rows(spark, d):
+    return orders(spark, d).select("o_orderkey", "o_totalprice", "o_custkey", "o_rank", "o_orderstatus", "o_orderpriority")
+
+
+@query(_ORDER_ROWS)
+def csv_round_trip(spark, d):
+    path = workspace(spark, "csv")
+    W.write_csv(_order_rows(spark, d), path, ["o_orderkey"])
+    return Q.read_stream(spark, path, MIXED)
+
+
+@query(_ORDER_ROWS)
+def tsv_round_trip(spark, d):
+    path = workspace(spark, "tsv")
+    W.write_csv(_order_rows(spark, d), path, sep="\t", header=False)
+    return Q.read_tsv(spark, path, MIXED)
+
+
+@query(f"WITH {_PAIRS} SELECT pub_seq, o_totalprice, sensitive, round(anon + 1e-6, 3) AS anon FROM pairs")
+def pairs_round_trip(spark, d):
+    path = workspace(spark, "pairs")
+    W.write_pairs(pairs(spark, d), ORDERS, path)
+    read = lambda side: spark.read.schema("pub_seq bigint, o_totalprice double, sensitive string").option("header", True).csv(f"{path}/{side}")
+    anon = read("anonymized").select("pub_seq", F.round(F.col("o_totalprice") + 1e-6, 3).alias("anon"))
+    return read("original").join(anon, "pub_seq")
+
+
+@query(f"WITH {_PAIRS} SELECT pub_seq, printf('%.4f', o_totalprice) || ',' || sensitive AS original, status FROM pairs")
+def record_pairs_round_trip(spark, d):
+    path, held = workspace(spark, "records"), pairs(spark, d)
+    W.write_record_pairs(held.withColumnRenamed("sensitive", "o_orderstatus").withColumn("sensitive", F.col("o_orderstatus")), ORDERS, path)
+    lines = spark.read.schema("pub_seq bigint, original string, anonymized string").option("header", True).csv(path)
+    middle = F.col("anonymized").startswith("300000.0000,")
+    both = lines.join(held.select("pub_seq", "status"), "pub_seq")
+    return both.where(middle == (F.col("status") != 0)).select("pub_seq", "original", "status")
+
+
+@query("SELECT o_orderpriority AS value, 2 * count(*) AS n FROM orders GROUP BY 1")
+def text_append_round_trip(spark, d):
+    path = workspace(spark, "text")
+    for _ in range(2):
+        W.append_text(orders(spark, d), "o_orderpriority", path)
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderstatus AS status, count(*)::VARCHAR AS n, NULL::VARCHAR AS customers FROM orders GROUP BY 1
+UNION ALL SELECT o_orderstatus, count(*)::VARCHAR, count(DISTINCT o_custkey)::VARCHAR FROM orders GROUP BY 1""")
+def appended_rows_round_trip(spark, d):
+    """Rows with other fields than those before."""
+    path, by = workspace(spark, "rows"), orders(spark, d).groupBy(F.col("o_orderstatus").alias("status"))
+    W.append_rows(by.agg(F.count("*").alias("n")), path)
+    W.append_rows(by.agg(F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("n")), path)
+    return Q.read_rows(spark, path).select("status", "n", "customers")
+
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT pub_seq AS time, round(avg(pow((o_totalprice - anon) / 600000.0, 2)) {_RUN}, 6) AS mse, round(avg(publish_time - pos) {_RUN}, 6) AS delay FROM pairs)
+SELECT 'orders@48_0.01_3_MSE' AS run, time, mse AS metric FROM q WHERE time % 100 = 0 UNION ALL SELECT 'orders@48_0.01_3_Mean Delay', time, delay FROM q WHERE time % 100 = 0""")
+def series_round_trip(spark, d):
+    path, held = workspace(spark, "series"), metric_series(spark, d)
+    for name, column in (("MSE", "mse"), ("Mean Delay", "delay")):
+        W.write_series(held.select(F.lit(W.series_name("orders", FLAGSHIP, name)).alias("run"), "time", F.col(column).alias("metric")), path)
+    return Q.read_series(spark, path)
+
+
+@query(f"""WITH c AS (SELECT user_id, event_id, event_type, {", ".join(f"coalesce(sum((event_type = '{v}')::INT) {_B}, 0) AS {v}" for v in EVENTS.sensitive.values)} FROM events)
+SELECT {_argmax({v: v for v in EVENTS.sensitive.values})} AS pred, event_type AS actual, count(*) AS n FROM c GROUP BY ALL""")
+def predictions_round_trip(spark, d):
+    path = workspace(spark, "predictions")
+    W.write_csv(prequential_majority(spark, d).select("pred", "actual"), path, header=False)
+    return Q.read_predictions(spark, path).groupBy("pred", "actual").agg(F.count("*").alias("n"))
+
+
+@query("SELECT max_by(event_type, event_id) AS event_type, max_by(user_id, event_id)::VARCHAR AS user_id, '?' AS kappa FROM events")
+def measures_last(spark, d):
+    return Q.last_measures(table(spark, d, "events"), ["event_type", "user_id", "kappa"], "event_id")
+
+
+_HOURS = StreamSchema("event_id", (EVENTS.quasi[0], Attribute("hour", discrete=True, lo=0, hi=23)), EVENTS.sensitive)
+
+
+@query("""SELECT unnest(['@relation events', '', '@attribute value numeric', '@attribute hour {' || (SELECT string_agg(h::VARCHAR, ',' ORDER BY h) FROM (SELECT DISTINCT hour(ts) AS h FROM events)) || '}',
+  '@attribute event_type {click,error,purchase,signup,view}', '', '@data']) AS line UNION ALL SELECT printf('%.4f', value) || ',' || hour(ts) || ',' || event_type FROM events""")
+def arff_round_trip(spark, d):
+    """With a numeric attribute declared by its values."""
+    path = workspace(spark, "arff")
+    W.write_arff(table(spark, d, "events").withColumn("hour", F.hour("ts").cast("bigint")), _HOURS, path, "events", "event_id", ["hour"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("""SELECT o_orderkey, o_totalprice BETWEEN 50000 AND 200000 AS price_ok, o_totalprice = floor(o_totalprice) AND o_totalprice BETWEEN 50000 AND 200000 AS whole_ok, o_orderstatus IN ('F', 'O') AS status_ok FROM orders""")
+def type_validation(spark, d):
+    a, price = replace(PRICE, lo=50000.0, hi=200000.0), F.col("o_totalprice")
+    return orders(spark, d).select("o_orderkey", S.valid(a, price).alias("price_ok"), S.valid(replace(a, discrete=True), price).alias("whole_ok"), S.valid(replace(STATUS, values=("F", "O")), F.col("o_orderstatus")).alias("status_ok"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return microagg_single_cluster(spark, d)

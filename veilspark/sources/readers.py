@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +27,19 @@ def records(df: DataFrame, schema: StreamSchema) -> DataFrame:
 
 
 def read_series(spark: SparkSession, pattern: str) -> DataFrame:
-    """Metric series of several runs: run (the file's name without its ending), time, metric."""
-    kinds = T.StructType([T.StructField("time", T.LongType()), T.StructField("metric", T.DoubleType())])
-    rows = spark.read.schema(kinds).option("header", True).csv(pattern)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"run=([^/]+)", 1).alias("run"), "time", "metric")
+    """Metric series of several runs as ``write_series`` leaves them: run, time, metric. pattern: their folder, or a pattern below it."""
+    base = pattern.split("*")[0].rstrip("/")
+    kinds = T.StructType([T.StructField("time", T.LongType()), T.StructField("metric", T.DoubleType()), T.StructField("run", T.StringType())])
+    return spark.read.schema(kinds).option("header", True).option("basePath", base).csv(pattern).select("run", "time", "metric")
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``append_rows`` has written, by name, all as text; a field that a row was written without is null."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    folders = sorted(x.getPath().toString() for x in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place))  # one for each set of fields
+    parts = [spark.read.option("header", True).csv(f) for f in folders]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -102,6 +102,12 @@ class Anonymizer:
         """Publishes what still waits, as the stream ends."""
         return [x for g in list(self.groups.values()) for x in self._remove(g, self.last if time is None else time)]
 
+    def sweep(self, time: int) -> list[tuple]:
+        """Removes the groups that are still small and have had no record for ``delta``."""
+        if self.cfg.delta is None:
+            return []
+        return [x for g in [g for g in self.groups.values() if g.size < self.cfg.k and time - g.newest >= self.cfg.delta] for x in self._remove(g, time)]
+
     def _open(self) -> Group:
         g = Group(self.opened, counts=[Counter() for _ in self.schema.quasi])
         self.groups[g.id] = g
@@ -155,7 +161,11 @@ class Anonymizer:
 
     def _typed(self, a: Attribute, v):
         if a.kind != NUMERIC:
+            if a.values and v not in a.values:
+                raise ValueError(f"{a.name}: {v!r} is none of its values")
             return v
+        if not math.isfinite(v):
+            raise ValueError(f"{a.name}: {v!r} is no number to publish")
         return int(v) if a.discrete else float(v)
 
     # chance --------------------------------------------------------------------------------------------------------
