@@ -54,6 +54,34 @@ def test_warc_round_trip_keeps_urls_and_payloads(spark, pages):
         assert any(r["url"] == u and bytes(r["payload"]).decode() == (h or "") for p, u, h in page_rows() if p == r["page_id"])
 
 
+def test_warc_splits_archives_and_takes_very_long_payloads(spark, pages):
+    long = "<p>" + prose(8, 200_000)
+    table = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame([(90, "u", long), (91, "v", long), (92, None, long + "x")], "page_id bigint, url string, html string"))
+    manifest = op7_warc.write(table.coalesce(1), workspace(spark, "t"), size_limit=4000)
+    assert manifest.count() > 5
+    found = op7_warc.read(manifest).collect()
+    assert len(found) == table.count()
+    kinds = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found}
+    size = len(long.encode())
+    assert kinds[90] == ("response", None, size) and kinds[91] == ("revisit", 90, size) and kinds[92] == ("response", None, size + 1)
+
+
+def test_hot_keys_meet_their_verdicts_by_salt(spark, pages):
+    """Both sides of the write-back joins have an exchange of their own by key and salt."""
+    from veilspark.llm import op5_exact_dedup
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(4000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'hot', cast(id AS string)) AS text")
+        out = op5_exact_dedup.exact_dedup(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"hashpartitioning\(digest#\d+, salt#\d+", plan)) >= 2 and "SortMergeJoin [digest" in plan
+        assert len(set(r["salt"] for r in op5_exact_dedup.keyed(df).where("content = 'hot'").select("salt").distinct().collect())) == 32
+        assert out.where("group_size = 2000 AND keep_id = 3998").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_warc_frames_stand_alone():
     records = [op7_warc.record(i, "u", prose(i, 80).encode(), op7_warc.digest(prose(i, 80).encode()), None) for i in range(300)]
     data = op7_warc.archive(records)
@@ -86,6 +114,14 @@ def test_op9_is_native(spark, pages, table_dir):
     assert "Window" in plan and not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
 
 
+def test_op9_keys_survive_any_character(spark):
+    rules = [("block", "com", "/"), ("allow", "x", "/abcdef"), ("block", "q.net", "/\t"), ("allow", "", "/e")]
+    urls = ["http://q.net/\tcom.evil", "http://q.net/\t", "http://a\tb.com/", "http://x/abcdef\t", "http://com./e", "http://" + "a." * 3000 + "com/", "http://c\u0000om/", "http://.com/"]
+    table = [(i, u, None) for i, u in enumerate(urls)]
+    got = op9_url_filters.judge(spark.createDataFrame(table, "page_id bigint, url string, html string"), rules).collect()
+    assert {x["page_id"]: tuple(x)[1:] for x in got} == {i: verdict(u, rules) for i, u, _ in table}
+
+
 def test_op9_nested_rules_at_random(spark):
     r = random.Random(2)
     hosts = [".".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(300)]
@@ -187,6 +223,23 @@ def test_pipeline_against_brute_force(spark, docs, table_dir):
     assert used <= least + 1
 
 
+def test_pipeline_with_null_and_repeated_ids(spark, docs, table_dir):
+    """The rows as they are: what the quality rules keep, one row of each text, a null id as the least."""
+    folder = table_dir(documents=docs)
+    now = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    kept = [(r["doc_id"], r["text"]) for r in now.collect()]
+    assert any(d is None for d, _ in kept) or len(kept) < len(rows())
+    now = spark.createDataFrame(now.collect(), now.schema)
+    once = corpus_pipeline.exact_duplicates(spark, now, folder).collect()
+    last = {}
+    for d, t in kept:
+        last[t] = max(-1 if d is None else d, last.get(t, -1))
+    assert {r["text"]: -1 if r["doc_id"] is None else r["doc_id"] for r in once} == last
+    left = corpus_pipeline.near_duplicate_groups(spark, spark.createDataFrame(once, now.schema), folder).collect()
+    assert {r["doc_id"] for r in once if r["doc_id"] is None} == {r["doc_id"] for r in left if r["doc_id"] is None}
+    assert corpus_pipeline.run(spark, folder).count() >= len(left)
+
+
 def test_pipeline_on_an_empty_table(spark, empty, table_dir):
     assert corpus_pipeline.run(spark, table_dir(documents=empty)).count() == 0
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspark.llm import op1_bpe, op2_quality_rules, op4_language, op8_quality_classifier
+from veilspark.llm import op1_bpe, op2_quality_rules, op4_language, op8_quality_classifier, op10_packing
 
 from .conftest import prose, rows, texts
 
@@ -29,6 +29,18 @@ def test_bpe_equals_the_library_on_random_text(library):
         assert np.frombuffer(bpe.encode(x), "<i4").tolist() == library.encode(x, add_special_tokens=False).ids, ascii(x)
 
 
+def test_bpe_equals_the_library_on_every_cased_or_rare_code_point(library):
+    """All planes' code points but the large blocks of unified ideographs and syllables, private use and unassigned planes; letters
+    whose lower case is newer than this Python are among them."""
+    own, packed = op1_bpe.WordBPE(op1_bpe.vocabulary_path()), op10_packing.LibraryBPE(op1_bpe.vocabulary_path())
+    assert own.other_case("x\ua7dc") or "\ua7dc".lower() != "\ua7dc"
+    chars = list(map(chr, [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x17000), *range(0x18D00, 0x20000)]))
+    for i in range(0, len(chars), 256):
+        text = " ".join("a" + c + "b" for c in chars[i : i + 256])
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<i4").tolist() == want == np.frombuffer(packed.encode(text), "<i4").tolist(), hex(ord(chars[i]))
+
+
 def test_bpe_long_words_and_stale_entries(library):
     bpe = op1_bpe.WordBPE(op1_bpe.vocabulary_path())
     for x in ("a" * 4000, "abcabc" * 300, "".join(random.Random(1).choice("thein") for _ in range(3000))):
@@ -72,6 +84,37 @@ def test_op2(spark, docs, empty, table_dir):
     assert op2_quality_rules.op2_quality_rules(spark, table_dir(documents=empty)).count() == 0
 
 
+def test_op2_verdicts_by_brute_force(spark, docs, table_dir):
+    """Estimation document by document, in plain loops, instead of on the histogram of votes."""
+    folder = table_dir(documents=docs)
+    frame = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", op2_quality_rules.stats_column(op2_quality_rules.content()).alias("stats"))
+    names = list(op2_quality_rules.rules())
+    votes = [(r["doc_id"], r["votes"]) for r in frame.select("doc_id", F.array(*op2_quality_rules.rules().values()).alias("votes")).collect()]
+    start, weight = (op2_quality_rules.START_BAD, op2_quality_rules.START_GOOD), op2_quality_rules.WEIGHT
+    share, table = 0.85, [[list(start[0]), list(start[1])] for _ in names]
+
+    def good(v):
+        yes, no = share, 1 - share
+        for t, x in zip(table, v):
+            no, yes = no * t[0][x + 1], yes * t[1][x + 1]
+        return yes / (yes + no)
+
+    for _ in range(200):
+        p = [good(v) for _, v in votes]
+        sums = [[[weight * x for x in side] for side in start] for _ in names]
+        for q, (_, v) in zip(p, votes):
+            for t, x in zip(sums, v):
+                t[0][x + 1] += 1 - q
+                t[1][x + 1] += q
+        before, share = share, (17 + sum(p)) / (20 + len(votes))
+        table = [[[x / sum(side) for x in side] for side in t] for t in sums]
+        if abs(share - before) < 1e-9:
+            break
+    want = sorted(((d, round(good(v), 6)) for d, v in votes), key=repr)
+    got = op2_quality_rules.op2_quality_rules(spark, folder).collect()
+    assert sorted(((r["doc_id"], round(r["posterior"], 6)) for r in got), key=repr) == want
+
+
 def test_label_model_finds_good_and_bad_rules():
     r, names = random.Random(3), ["sharp", "weak", "noise"]
     count, truth = Counter(), Counter()
@@ -120,6 +163,41 @@ def test_op4(spark, empty, table_dir):
     assert op4_language.op4_language(spark, table_dir(documents=empty)).count() == 0
 
 
+def test_op4_by_brute_force(spark, table_dir):
+    """Frequencies, vectors and cosines in plain loops over all rows; extra columns, ties and a very long text."""
+    table = [(*r, "x", 1) for r in [*language_rows(), (950, "lormen tik " * 30000, "aa"), (951, language_rows()[0][1], "bb")]]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, lang string, h string, nth int").repartition(3)
+    train = {}
+    for d, t, lang, *_ in table:
+        if d is not None and t is not None and lang is not None and zlib.crc32(str(d).encode()) % 5:
+            train.setdefault((lang, d), []).append(t)
+    texts = [t for ts in train.values() for t in ts]
+    seen = [g for t in texts if (g := op4_language.grams(t)) is not None]
+    idf = [np.log((1 + len(seen)) / (1 + sum(g[i] > 0 for g in seen))) + 0.05 for i in range(op4_language.DIM)]
+    model = op4_language.fit(df.where(op4_language.crc_fold() != 0))
+    assert np.allclose(model.idf, idf, atol=1e-6) and model.langs == ["aa", "bb", "cc"]
+    for r in op4_language.op4_language(spark, table_dir(documents=df)).collect():
+        text = next(t for d, t, *_ in table if d == r["doc_id"])
+        g = op4_language.grams(text) if text else None
+        if g is None:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        x = {i: float(np.log1p(n)) * idf[i] for i, n in enumerate(g.tolist()) if n}
+        size = sum(v * v for v in x.values()) ** 0.5
+        near = [sum(float(c[i]) * v for i, v in x.items()) / size for c in model.centroids]
+        best = max(range(len(near)), key=lambda j: near[j])
+        assert r["lang_pred"] == model.langs[model.owner[best]] and abs(r["distance"] - 1 + near[best]) < 1e-4
+        assert r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_op4_sample_is_that_of_least_hash(spark, monkeypatch):
+    monkeypatch.setattr(op4_language, "SAMPLE", 7)
+    df = spark.range(3000).selectExpr("id % 1500 AS doc_id", "if(id % 3 = 0, 'a', 'b') AS lang", "'x' AS text").repartition(5)
+    want = {lang: [r[0] for r in df.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(7).collect()] for lang in "ab"}
+    got = op4_language.sampled(df).collect()
+    assert {lang: sorted(r["doc_id"] for r in got if r["lang"] == lang) for lang in "ab"} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_op4_rejects_what_is_far(spark):
     df = spark.createDataFrame([r for r in language_rows() if r[2]], "doc_id bigint, text string, lang string")
     model = op4_language.fit(df)
@@ -164,6 +242,33 @@ def test_op8(spark, empty, table_dir):
     assert op8_quality_classifier.op8_quality_classifier(spark, table_dir(documents=empty, labels=labels)).count() == 0
 
 
+def test_op8_by_brute_force(spark, table_dir):
+    """The rows to learn from picked in plain loops, and each score as the double sum over pairs of inputs; extra columns, a repeated id
+    with other texts, and a very long text."""
+    table = [(d, t, "x", 5) for d, t in [*quality_rows(), (2, "another text of an id that there is"), (1002, prose(4, 30000))]]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, label string, places int").repartition(3)
+    labels = [(i, int(i % 4 > 0), 0) for i in range(0, 400, 5)] + [(1, 1, 1), (1, 0, 0), (2, 0, 0)]
+    marked, text = {}, {}
+    for i, q, _ in labels:
+        marked[i] = max(q, marked.get(i, 0))
+    for d, t, *_ in table:
+        if d in marked and zlib.crc32(str(d).encode()) % 5:
+            text[d] = min(t or "", text.get(d, t or ""))
+    rows_ = [(*op8_quality_classifier.inputs(t), marked[d]) for d, t in text.items()]
+    m = op8_quality_classifier.fit_rows(sorted(rows_, key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())))
+    folder = table_dir(documents=docs, labels=spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    short = {}
+    for d, t, *_ in table:
+        if d != 1002:
+            at, x = op8_quality_classifier.inputs(t or "")
+            v = m.factors[at].astype(float) * x[:, None]
+            short.setdefault(d, set()).add(round(1 / (1 + float(np.exp(-(m.bias + m.weight[at] @ x + np.triu(v @ v.T, 1).sum())))), 3))
+    for r in op8_quality_classifier.op8_quality_classifier(spark, folder).collect():
+        assert r["doc_id"] == 1002 or any(abs(r["score"] - y) < 2e-3 for y in short[r["doc_id"]])
+    few = op8_quality_classifier.fit(docs.unionByName(docs.where("doc_id = 1")).where("doc_id IS NOT NULL"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int"), rows=2)
+    assert few.factors.shape[0] == op8_quality_classifier.DIM
+
+
 def test_factorisation_machine_uses_pairs_and_the_identity():
     r, data = np.random.default_rng(2), []
     for _ in range(1500):

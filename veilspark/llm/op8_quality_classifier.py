@@ -106,6 +106,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 15, b
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING) -> FactorisationMachine:
     """docs: doc_id, text, all of which may be learned from; labels: doc_id, quality. At most ``rows`` reach the driver."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    docs = docs.select("doc_id", "text")
     ids = docs.select("doc_id").distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.join(F.broadcast(ids), "doc_id")  # at most ``rows`` ids
     chosen = chosen.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(content()).alias("text")).select("label", "text")  # and as many rows
