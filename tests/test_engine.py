@@ -1,6 +1,7 @@
 """The anonymizer's parts against independent models."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -299,3 +300,18 @@ def test_buffered_groups():
     for n in (1, 9, 10, 19, 20, 57):
         sizes = Counter(nearest_groups(r.random((n, 2)), 10).tolist())
         assert sum(sizes.values()) == n and all(10 <= s < 20 for s in sizes.values()) or n < 10
+
+
+def test_sweep_of_noise_and_learners(spark):
+    from veilspark.plans.catalog import EPSILONS, KS, QUERIES
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("the driver's tables are not here")
+    rows = {(r.k, r.eps): r.mse_published for r in QUERIES["noise_sweep_losses"](spark, d).collect()}
+    assert set(rows) == {(float(k), e) for k in KS for e in EPSILONS}
+    for k in KS[:5]:
+        assert rows[k, 0.01] > rows[k, 1.0]
+    seen = {r.learner: r for r in QUERIES["classifier_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(seen) == set(LEARNERS)
+    assert all(0 <= r.auc_anonymized <= r.auc_original + 0.1 <= 1.1 for r in seen.values())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,13 @@ from ..operators import ordering as O
 from ..operators import report as R
 from ..operators.smoothing import smoothed
 from ..schema import NOMINAL, ORDINAL, Attribute, StreamSchema, numeric_stats
-from ..shared import workspace
+from ..shared import materialize, workspace
 from ..sources import readers as Q
 from ..sources import writers as W
 from ..streaming import detectors
-from ..streaming.batch import anonymize
+from ..streaming.batch import anonymize, anonymize_runs
 from ..streaming.buffered import knn_anonymize
-from ..streaming.learners import Prequential
+from ..streaming.learners import LEARNERS, Prequential
 from .grouping_sql import grouping_sql
 from .single_cluster import single_cluster
 
@@ -424,22 +425,51 @@ def run_report(spark, d):
     return _report(spark, d, FLAGSHIP, "flagship")
 
 
-@query(" UNION ALL ".join(f"""(WITH {_PAIRS.replace("192", str(4 * k)).replace("48", str(k))} SELECT 'k{k}_l3_eps0.01' AS run_id, {k}.0::DOUBLE AS k, {_REPORT})""" for k in (20, 50, 100)))
+KS, EPSILONS = (20, 50, 100, 200, 400, 800), (0.01, 0.05, 0.1, 1.0)
+
+
+def _swept(sql: str, k: int) -> str:
+    """SQL of k = 48 and l = 3 for another k and l = 2."""
+    rest = "(f + o + p - greatest(f, o, p))"
+    return sql.replace("192", str(4 * k)).replace("48", str(k)).replace("least(f, o, p) AND least(f, o, p) > 0", f"{rest} AND {rest} > 0")
+
+
+@query(" UNION ALL ".join(f"""(WITH {_swept(_PAIRS, k)} SELECT 'k{k}_l2_eps0.01' AS run_id, {k}.0::DOUBLE AS k, {_REPORT})""" for k in KS))
 def parameter_sweep(spark, d):
-    runs = [_report(spark, d, cfg, run_id).drop("l", "c", "eps", "delta", "buffer", "threshold") for run_id, cfg in sweep([20, 50, 100], [3], c=2.0).items()]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+    """All group sizes, on the closed form, which adds no noise."""
+    runs = [_report(spark, d, cfg, run_id).drop("l", "c", "eps", "delta", "buffer", "threshold") for run_id, cfg in sweep(list(KS), [2], c=2.0).items()]
+    return reduce(DataFrame.unionByName, runs)
 
 
 @query()
 def classifier_comparison(spark, d):
-    """A naive Bayes learner on the original and on the published prices of each shard, and their agreement."""
-    o = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(8)).cast("string")).withColumn("month", F.month("o_orderdate").cast("double"))
+    """Every learner on the original and on the published prices of each shard, and the agreement of the two; the learners run side by side."""
+    o = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(8)).cast("string")).withColumns({"month": F.month("o_orderdate").cast("double"), "cust": F.col("o_custkey").cast("double"), "rank": F.col("o_rank").cast("double")})
     anon = anonymize(o, ORDERS, AnonymizerConfig(k=20, threshold=0.1), "shard").select(F.col("seq").alias("o_orderkey"), F.col("anon_o_totalprice").alias("price"))
-    own = o.select("shard", "o_orderkey", F.col("o_totalprice").alias("price"), "month", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
+    own = o.select("shard", "o_orderkey", F.col("o_totalprice").alias("price"), "month", "cust", "rank", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
     shown = own.drop("price").join(anon, "o_orderkey").select(own.columns)
-    kinds = "shard string, o_orderkey bigint, actual string, pred string, score double"
-    guess = lambda df: C.fold_shards(df, "shard", "o_orderkey", ["price", "month", "y"], lambda: Prequential("naive_bayes", "high"), kinds)
-    return R.classifier_report(guess(own), guess(shown), ["shard", "o_orderkey"], "high", "naive_bayes")
+
+    def step():
+        held = {}
+
+        def act(learner, *values):
+            if learner not in held:
+                held[learner] = Prequential(learner, "high")
+            return [(learner, *p) for p in held[learner](*values)]
+
+        return act
+
+    def guess(df):
+        each = df.withColumn("learner", F.explode(F.array(*[F.lit(x) for x in LEARNERS]))).withColumn("shard", F.concat_ws("|", "learner", "shard"))
+        kinds = "shard string, o_orderkey bigint, learner string, actual string, pred string, score double"
+        return materialize(C.fold_shards(each, "shard", "o_orderkey", ["learner", "price", "month", "cust", "rank", "y"], step, kinds), "guesses")
+
+    first, second = guess(own), guess(shown)
+    rows = []
+    for x in LEARNERS:
+        row = R.classifier_report(first.where(F.col("learner") == x), second.where(F.col("learner") == x), ["shard", "o_orderkey"], "high", x)
+        rows.append(row.select(F.lit(x).alias("learner"), *[F.col(f"{c}_{x}").alias(c) for c in ("auc_original", "auc_anonymized", "kappa")]))
+    return reduce(DataFrame.unionByName, rows)
 
 
 QUERIES["microagg_randomized"] = lambda spark, d: _kernel(AnonymizerConfig(k=20, threshold=0.15, publisher="random"), MIXED)(spark, d)
@@ -701,6 +731,36 @@ def microagg_exact_one_group(spark, d):
     return out.select("shard", "seq", "publish_time", "cluster", "status", F.round(F.col("anon_o_totalprice") + 1e-6, 3).alias("anon"))
 
 
+def _noise_runs(spark, d):
+    runs = sweep(list(KS), [2], list(EPSILONS), c=2.0, threshold=2.0, noise="laplace")
+    rows = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(16)))
+    known = F.create_map(*[x for r, cfg in runs.items() for x in (F.lit(r), F.struct(F.lit(float(cfg.k)).alias("k"), F.lit(cfg.eps).alias("eps")))])
+    return anonymize_runs(rows, ORDERS, runs, "shard").withColumns({"k": known[F.col("run_id")]["k"], "eps": known[F.col("run_id")]["eps"]})
+
+
+_COUNTS = """count(*) AS n, count(DISTINCT (shard, cluster)) AS opened_clusters, count(*) FILTER (status = 1) AS suppressed_size, count(*) FILTER (status = 2) AS suppressed_diversity,
+round(avg(publish_time - seq), 3) AS avg_wait"""
+
+
+@query(" UNION ALL ".join(f"(SELECT 'k{k}_l2_eps{e:g}' AS run_id, {k}.0::DOUBLE AS k, {e}::DOUBLE AS eps, {_COUNTS} FROM ({_swept(_ONE_GROUP, k)}))" for k in KS for e in EPSILONS))
+def noise_sweep_counts(spark, d):
+    """All group sizes by all noise levels in one job of the kernel: what does not depend on the noise."""
+    flag = lambda s: F.sum((F.col("status") == s).cast("int"))
+    return _noise_runs(spark, d).groupBy("run_id", "k", "eps").agg(
+        F.count("*").alias("n"), F.countDistinct("shard", "cluster").alias("opened_clusters"), flag(1).alias("suppressed_size"), flag(2).alias("suppressed_diversity"),
+        F.round(F.avg(F.col("publish_time") - F.col("seq")), 3).alias("avg_wait"))
+
+
+@query()
+def noise_sweep_losses(spark, d):
+    """The same runs: the loss of the published prices, noise included."""
+    own = orders(spark, d).select(F.col("o_orderkey").alias("seq"), "o_totalprice")
+    gap = (F.col("o_totalprice") - F.col("anon_o_totalprice")) / 600000.0
+    shown = F.col("status") == 0
+    return _noise_runs(spark, d).join(own, "seq").groupBy("run_id", "k", "eps").agg(
+        F.round(F.avg(gap * gap), 9).alias("mse"), F.round(F.avg(F.when(shown, gap * gap)), 9).alias("mse_published"))
+
+
 @query(_ONE_GROUP)
 def microagg_stream(spark, d):
     """The same through the streaming form, with a restart from its checkpoint half-way."""

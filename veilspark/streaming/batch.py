@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import AnonymizerConfig
 from ..schema import NUMERIC, StreamSchema
@@ -28,9 +29,9 @@ def frame(rows: list[tuple], schema: StreamSchema, shard: str) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in whole})
 
 
-def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig, shard: str) -> DataFrame:
+def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Callable[[str], AnonymizerConfig], shard: str) -> DataFrame:
     """Shards are dealt by key and arrive in order, so a task holds the open groups of one shard and one batch of rows, never a whole
-    shard. All of a shard is one sequence by definition; its guarantees are its own."""
+    shard. All of a shard is one sequence by definition; its guarantees are its own. ``cfg`` may depend on the shard."""
     columns = [shard, schema.seq, *(a.name for a in schema.quasi), schema.sensitive.name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +42,7 @@ def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig, shard:
                 if kernel is None or s != current:
                     if kernel is not None:
                         out += [(current, x) for x in kernel.flush()]
-                    current, kernel = s, Anonymizer(schema, cfg, str(s))
+                    current, kernel = s, Anonymizer(schema, cfg(s) if callable(cfg) else cfg, str(s))
                 out += [(s, x) for x in kernel.step(int(seq), tuple(values), sensitive)]
             yield frame(out, schema, shard)
         if kernel is not None:
@@ -49,3 +50,10 @@ def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig, shard:
 
     dealt = df.select(df[shard].cast("string").alias(shard), *columns[1:]).repartition(shard).sortWithinPartitions(shard, schema.seq)
     return dealt.mapInPandas(run, output_schema(schema, shard))
+
+
+def anonymize_runs(df: DataFrame, schema: StreamSchema, runs: dict[str, AnonymizerConfig], shard: str) -> DataFrame:
+    """Every run of a sweep in one job: a shard of a run is a stream of its own. The rows of ``anonymize``, led by run_id, which must hold no bar."""
+    whole = df.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs]))).withColumn(shard, F.concat_ws("|", "run_id", F.col(shard).cast("string")))
+    out = anonymize(whole, schema, lambda s: runs[s.split("|", 1)[0]], shard)
+    return out.select(F.split_part(shard, F.lit("|"), F.lit(1)).alias("run_id"), F.expr(f"substring(`{shard}`, locate('|', `{shard}`) + 1)").alias(shard), *[F.col(f"`{c}`") for c in out.columns if c != shard])
