@@ -2,26 +2,29 @@
 
 import math
 import os
+import pickle
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from veilspark.config import AnonymizerConfig, sweep
 from veilspark.functions import noise as N
 from veilspark.functions import scalar as S
 from veilspark.operators import agreement, aggregates, drift, metrics, neighbours, ordering, report, smoothing
-from veilspark.plans.catalog import EVENTS, MIXED, ORACLES, QUERIES
+from veilspark.plans.catalog import EVENTS, MIXED, ORACLES, PRIORITIES, QUERIES
 from veilspark.plans.single_cluster import single_cluster
 from veilspark.schema import NOMINAL, ORDINAL, Attribute, StreamSchema
 from veilspark.sources import readers, writers
 from veilspark.streaming.batch import anonymize
 from veilspark.streaming.buffered import nearest_groups
 from veilspark.streaming.detectors import Adwin, PageHinkley
-from veilspark.streaming.kernel import Anonymizer
+from veilspark.streaming.kernel import Anonymizer, Group
 from veilspark.streaming.learners import LEARNERS, Prequential
+from veilspark.streaming.nearest import Places, matcher
 
 X = Attribute("x", lo=0.0, hi=100.0)
 C = Attribute("c", NOMINAL, values=("u", "v", "w"))
@@ -124,6 +127,67 @@ def test_randomized_publisher_counts_all_as_published():
     assert len(got) == 50 and {x[4] for x in got} == {0} and len({x[5][0] for x in got}) == 50
 
 
+def orders_of(regions, each, seed=2):
+    """Records of MIXED whose customers move to another region after every ``each`` records, so that groups stay behind."""
+    r = random.Random(seed)
+    for i in range(regions * each):
+        yield i, (round(r.random() * 5e5, 2), 15000 * (i // each) + r.randrange(15000), r.choice("12345"), r.choice("FOP")), r.choice(PRIORITIES)
+
+
+@pytest.mark.parametrize("cfg", [AnonymizerConfig(k=5, threshold=0.12, delta=600, gap=True)])
+def test_a_search_does_not_grow_with_the_open_groups(cfg):
+    kernel, looked = Anonymizer(MIXED, cfg), []
+    about = kernel.places.about
+    kernel.places.about = lambda values: looked.append(len(found := list(about(values)))) or found
+    for record in orders_of(20, 150):
+        kernel.step(*record)
+    assert len(kernel.groups) > 60 and max(looked) < len(kernel.groups) / 3
+    by_place = {g.id for held in kernel.places.cells.values() for g in held.values()}
+    assert by_place == set(kernel.groups)
+
+
+@pytest.mark.parametrize("schema", [MIXED, StreamSchema("seq", MIXED.quasi[:2], MIXED.sensitive), StreamSchema("seq", MIXED.quasi[3:], MIXED.sensitive), StreamSchema("seq", MIXED.quasi[2:], MIXED.sensitive)])
+@pytest.mark.parametrize("threshold", [0.0, 0.12, 0.4, 3.0, math.inf])
+def test_search_equals_the_distances_of_all_groups(schema, threshold):
+    r = random.Random(4)
+
+    def place():
+        whole = (r.choice([1e3, 2.5e5, 3e5, math.nan, 6e12]), r.choice([0, 1500, 4218.75, 60000, -7, 9e5]) + r.random() * r.choice([0, 4000]), r.choice("12345"), r.choice("FOP"))
+        return tuple(v for a, v in zip(MIXED.quasi, whole) if a in schema.quasi)
+
+    places = Places(schema, threshold)
+    kernel = Anonymizer(schema, AnonymizerConfig(threshold=threshold))
+    groups = [Group(i, centroid=list(place())) for i in range(300)]
+    for g in groups:
+        places.put(g)
+    for g in r.sample(groups, 100):
+        g.centroid = list(place())
+        places.put(g)
+    for _ in range(200):
+        x = place()
+        raw = lambda g: math.sqrt(sum((p - q) ** 2 if a.kind == "numeric" else float(p != q) for a, p, q in zip(schema.quasi, x, g.centroid)))  # noqa: B023, E731
+        near = [g for g in groups if kernel.distance(x, g.centroid) <= threshold]
+        best = min(near, key=lambda g: (raw(g), g.id)) if near else None
+        assert matcher(schema, threshold)(places.about(x), x) is best
+
+
+def test_draws_are_hashes_of_seed_shard_and_keys():
+    kernel = Anonymizer(MIXED, AnonymizerConfig(seed=9), "it's")
+    want = ((xxhash.xxh3_64_intdigest(repr((9, "it's", "s", 17, 2)).encode()) >> 12) + 0.5) / 2**52
+    assert kernel._uniform("'s', 17, 2") == want
+
+
+@pytest.mark.parametrize("cfg", [AnonymizerConfig(k=5, threshold=0.12, delta=300), AnonymizerConfig(k=5, threshold=0.12, delta=300, gap=True, drift="centroid", noise="laplace", suppress="kernel")])
+def test_a_restored_state_goes_on_alike(cfg):
+    one, two, got = Anonymizer(MIXED, cfg), Anonymizer(MIXED, cfg), []
+    for i, record in enumerate(orders_of(4, 200)):
+        if i % 90 == 0:
+            two = pickle.loads(pickle.dumps(two))
+        got.append(one.step(*record))
+        assert two.step(*record) == got[-1]
+    assert two.flush() == one.flush() and any(got)
+
+
 def test_floored_centroids_and_drift_reset():
     a = Attribute("x", discrete=True, lo=0, hi=100)
     kernel = Anonymizer(StreamSchema("seq", (a,), SCHEMA.sensitive), AnonymizerConfig(k=100, threshold=2.0, floor_discrete=True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +30,41 @@ def frame(rows: list[tuple], schema: StreamSchema, shard: str) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in whole})
 
 
+def batch(made: list[tuple[str, list[tuple]]], schema: StreamSchema, shard: str) -> pa.RecordBatch:
+    """The same from (shard, rows of it), column by column."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *(pa.string() if a.kind != NUMERIC else pa.int64() if a.discrete else pa.float64() for a in schema.quasi)]
+    rows = [r for _, some in made for r in some]
+    facts = list(zip(*rows)) or [()] * 6
+    columns = [*facts[:5], *(zip(*facts[5]) if rows else [()] * len(schema.quasi))]
+    shards = [s for s, some in made for _ in some]
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds))], output_names(schema, shard))
+
+
 def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Callable[[str], AnonymizerConfig], shard: str) -> DataFrame:
     """Shards are dealt by key and arrive in order, so a task holds the open groups of one shard and one batch of rows, never a whole
     shard. All of a shard is one sequence by definition; its guarantees are its own. ``cfg`` may depend on the shard."""
     columns = [shard, schema.seq, *(a.name for a in schema.quasi), schema.sensitive.name]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kernel = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kernel, step = None, None, None
         for rows in batches:
-            out: list[tuple] = []
-            for s, seq, *values, sensitive in rows.itertuples(index=False, name=None):
+            out, made = [], []  # (shard, its rows) of the shards that end in this batch; the rows of the one that goes on
+            shards, seqs, *values, sensitives = [c.to_pandas().tolist() for c in rows.columns]
+            for s, seq, x, sensitive in zip(shards, seqs, zip(*values), sensitives):
                 if kernel is None or s != current:
                     if kernel is not None:
-                        out += [(current, x) for x in kernel.flush()]
-                    current, kernel = s, Anonymizer(schema, cfg(s) if callable(cfg) else cfg, str(s))
-                out += [(s, x) for x in kernel.step(int(seq), tuple(values), sensitive)]
-            yield frame(out, schema, shard)
+                        out.append((current, made + kernel.flush()))
+                    current, made, kernel = s, [], Anonymizer(schema, cfg(s) if callable(cfg) else cfg, str(s))
+                    step = kernel.step
+                made += step(int(seq), x, sensitive)
+            yield batch([*out, (current, made)], schema, shard)
         if kernel is not None:
-            yield frame([(current, x) for x in kernel.flush()], schema, shard)
+            yield batch([(current, kernel.flush())], schema, shard)
 
-    dealt = df.select(df[shard].cast("string").alias(shard), *columns[1:]).repartition(shard).sortWithinPartitions(shard, schema.seq)
-    return dealt.mapInPandas(run, output_schema(schema, shard))
+    # a number of parts is given, for parts merged by size would put several long shards in one task while other cores are idle
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(df[shard].cast("string").alias(shard), *columns[1:]).repartition(parts, shard).sortWithinPartitions(shard, schema.seq)
+    return dealt.mapInArrow(run, output_schema(schema, shard))
 
 
 def anonymize_runs(df: DataFrame, schema: StreamSchema, runs: dict[str, AnonymizerConfig], shard: str) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 import math
 from collections import Counter, deque
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import xxhash
@@ -14,6 +16,7 @@ import xxhash
 from ..config import AnonymizerConfig
 from ..operators.drift import ks_threshold, pca_ks
 from ..schema import NUMERIC, ORDINAL, Attribute, StreamSchema
+from .nearest import Places, matcher
 
 PUBLISHED, TOO_SMALL, NOT_DIVERSE, LATE = 0, 1, 2, 3
 
@@ -34,6 +37,7 @@ class Group:
     window: list[tuple] = field(default_factory=list)
     before: list[tuple] | None = None
     newest: int = 0
+    modes: list = field(default_factory=list)  # the most frequent value so far of each attribute that is no number
 
 
 class Anonymizer:
@@ -46,6 +50,27 @@ class Anonymizer:
         self.last: int | None = None
         self.ranges: dict[int, list[float]] = {}
         self.history: dict[int, deque] = {}
+        self._derive()
+
+    def _derive(self) -> None:
+        """What follows from the rest and is no part of the state: the groups by place and by age, the search, the lead of every draw's key."""
+        self.places = Places(self.schema, self.cfg.threshold)
+        for g in self.groups.values():
+            self.places.put(g)
+        self.aging = deque(g.id for g in sorted(self.groups.values(), key=lambda g: g.id) if g.waiting)
+        self.find = matcher(self.schema, self.cfg.threshold)
+        self.numeric = [a.kind == NUMERIC for a in self.schema.quasi]
+        self.lead = repr((self.cfg.seed, self.shard))[:-1]
+        self.keeps_window = self.cfg.drift != "none" or self.cfg.suppress == "kernel"
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("places", "aging", "find", "numeric", "lead", "keeps_window")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        for g in self.groups.values():
+            g.__dict__.setdefault("modes", [None if a.kind == NUMERIC or not n else min(n, key=lambda x: (-n[x], x)) for a, n in zip(self.schema.quasi, g.counts)])  # noqa: B023
+        self._derive()
 
     # distances -----------------------------------------------------------------------------------------------------
     def _feature(self, a: Attribute, x, y) -> float:
@@ -56,14 +81,12 @@ class Anonymizer:
         return 0.0 if x == y else a.weight
 
     def distance(self, x, y) -> float:
+        """Parts are added plainly from left to right, as SQL does; ``sum`` would round otherwise."""
         q = self.schema.quasi
         if self.schema.all_nominal:
             return sum(p != r for p, r in zip(x, y)) / len(q)
         parts = [self._feature(a, p, r) for a, p, r in zip(q, x, y)]
-        return math.sqrt(sum(d * d for d in parts) / len(q)) if self.schema.all_numeric else sum(parts) / sum(a.weight for a in q)
-
-    def _raw(self, x, y) -> float:
-        return math.sqrt(sum((p - r) ** 2 if a.kind == NUMERIC else float(p != r) for a, p, r in zip(self.schema.quasi, x, y)))
+        return math.sqrt(reduce(add, [d * d for d in parts]) / len(q)) if self.schema.all_numeric else reduce(add, parts) / sum(a.weight for a in q)
 
     # stepping ------------------------------------------------------------------------------------------------------
     def step(self, seq: int, values: tuple, sensitive: str) -> list[tuple]:
@@ -73,29 +96,34 @@ class Anonymizer:
         out: list[tuple] = []
         cfg = self.cfg
         if cfg.delta is not None and not cfg.gap:
-            for g in [g for g in self.groups.values() if g.waiting and seq - g.waiting[0][0] >= cfg.delta]:
-                out += self._remove(g, seq)
-        near = [g for g in self.groups.values() if self.distance(values, g.centroid) <= cfg.threshold]
-        if not near:
+            while self.aging:  # in the order of opening, so of the oldest waiting records
+                g = self.groups.get(self.aging[0])
+                if g is not None and g.waiting:
+                    if seq - g.waiting[0][0] < cfg.delta:
+                        break
+                    out += self._remove(g, seq)
+                self.aging.popleft()
+        g = self.find(self.places.about(values), values)
+        if g is None:
             self._take(self._open(), seq, values, sensitive)
             return out
-        g = min(near, key=lambda g: (self._raw(values, g.centroid), g.id))
         if cfg.delta is not None and cfg.gap and seq - g.newest >= cfg.delta:
             out += self._remove(g, seq)
             g = self._open()
         self._take(g, seq, values, sensitive)
         if g.size >= cfg.k:
             held, g.waiting = g.waiting, []
-            shown = self._noisy(g)
-            for record in reversed(held):
-                out.append(self._publish(record, g, shown, seq))
+            held.reverse()
+            out += self._publish(held, g, self._noisy(g), seq)
         if g.size >= cfg.retire:
-            del self.groups[g.id]
+            self._drop(g)
         if len(g.window) >= cfg.buffer:
             drifted = g.before is not None and self._drift(g.before, g.window)
             g.before, g.window = g.window, []
             if drifted:
                 g.centroid = self._mean(g.before)
+                if g.id in self.groups:
+                    self.places.put(g)
         return out
 
     def flush(self, time: int | None = None) -> list[tuple]:
@@ -109,30 +137,40 @@ class Anonymizer:
         return [x for g in [g for g in self.groups.values() if g.size < self.cfg.k and time - g.newest >= self.cfg.delta] for x in self._remove(g, time)]
 
     def _open(self) -> Group:
-        g = Group(self.opened, counts=[Counter() for _ in self.schema.quasi])
+        g = Group(self.opened, counts=[Counter() for _ in self.schema.quasi], modes=[None for _ in self.schema.quasi])
         self.groups[g.id] = g
+        if self.cfg.delta is not None and not self.cfg.gap:
+            self.aging.append(g.id)
         self.opened += 1
         return g
 
+    def _drop(self, g: Group) -> None:
+        del self.groups[g.id]
+        self.places.drop(g)
+
     def _take(self, g: Group, seq: int, values: tuple, sensitive: str) -> None:
         g.size += 1
         g.newest = seq
         g.sensitive[sensitive] += 1
-        for a, n, v in zip(self.schema.quasi, g.counts, values):
-            if a.kind != NUMERIC:
-                n[v] += 1
-        g.waiting.append((seq, values, sensitive))
-        g.window.append((seq, values, sensitive))
-        if g.size == 1:
-            g.centroid = list(values)
-            return
-        for i, (a, v) in enumerate(zip(self.schema.quasi, values)):
-            if a.kind == NUMERIC:
+        record = (seq, values, sensitive)
+        g.waiting.append(record)
+        if self.keeps_window:
+            g.window.append(record)
+        first, centroid = g.size == 1, g.centroid
+        if first:
+            centroid[:] = values
+        for i, (numeric, v) in enumerate(zip(self.numeric, values)):
+            if not numeric:
+                counts, mode = g.counts[i], g.modes[i]
+                n = counts[v] = counts.get(v, 0) + 1
+                if first or v != mode and (n > counts[mode] or n == counts[mode] and v < mode):
+                    g.modes[i] = mode = v
+                centroid[i] = mode
+            elif not first:
                 n = g.size - 1 if self.cfg.true_mean else g.size
-                c = (g.centroid[i] * n + v) / (n + 1)
-                g.centroid[i] = math.floor(c) if a.discrete and self.cfg.floor_discrete else c
-            else:
-                g.centroid[i] = min(g.counts[i], key=lambda x: (-g.counts[i][x], x))
+                c = (centroid[i] * n + v) / (n + 1)
+                centroid[i] = math.floor(c) if self.cfg.floor_discrete and self.schema.quasi[i].discrete else c
+        self.places.put(g)
 
     def _mean(self, window: list[tuple]) -> list:
         out = []
@@ -144,20 +182,25 @@ class Anonymizer:
 
     def _remove(self, g: Group, time: int) -> list[tuple]:
         held, g.waiting = g.waiting, []
-        del self.groups[g.id]
-        return [self._publish(record, g, g.centroid, time) for record in reversed(held)]
+        self._drop(g)
+        held.reverse()
+        return self._publish(held, g, g.centroid, time)
 
-    def _publish(self, record: tuple, g: Group, shown: list, time: int) -> tuple:
-        seq, _, _ = record
-        self.published += 1
+    def _publish(self, held: list[tuple], g: Group, shown: list, time: int) -> list[tuple]:
+        """The rows of some records of a group, which has one status and one shown value for all of them."""
+        q, whole, out = self.schema.quasi, range(len(self.schema.quasi)), []
         if g.size < self.cfg.k:
             status = TOO_SMALL
         else:
             status = PUBLISHED if recursive_diverse(g.sensitive, self.cfg.l, self.cfg.c) else NOT_DIVERSE
+        draw = None if status == PUBLISHED else self._suppressed
         if self.cfg.publisher == "random":
-            status, shown = PUBLISHED, [self._random(i, g, seq) for i in range(len(self.schema.quasi))]
-        values = shown if status == PUBLISHED else [self._suppressed(i, g, seq) for i in range(len(self.schema.quasi))]
-        return (seq, time, self.published, g.id, status, tuple(self._typed(a, v) for a, v in zip(self.schema.quasi, values)))
+            status, draw = PUBLISHED, self._random
+        typed = tuple(map(self._typed, q, shown)) if draw is None and held else ()
+        for seq, _, _ in held:
+            self.published += 1
+            out.append((seq, time, self.published, g.id, status, typed if draw is None else tuple([self._typed(q[i], draw(i, g, seq)) for i in whole])))
+        return out
 
     def _typed(self, a: Attribute, v):
         if a.kind != NUMERIC:
@@ -169,12 +212,13 @@ class Anonymizer:
         return int(v) if a.discrete else float(v)
 
     # chance --------------------------------------------------------------------------------------------------------
-    def _uniform(self, *keys) -> float:
-        h = xxhash.xxh3_64_intdigest(repr((self.cfg.seed, self.shard, *keys)).encode())
+    def _uniform(self, key: str) -> float:
+        """``key`` as in the repr of a tuple that begins with seed and shard."""
+        h = xxhash.xxh3_64_intdigest(f"{self.lead}, {key})")
         return ((h >> 12) + 0.5) / 2**52
 
-    def _normal(self, *keys) -> float:
-        return math.sqrt(-2 * math.log(self._uniform(*keys, "r"))) * math.cos(2 * math.pi * self._uniform(*keys, "a"))
+    def _normal(self, key: str) -> float:
+        return math.sqrt(-2 * math.log(self._uniform(f"{key}, 'r'"))) * math.cos(2 * math.pi * self._uniform(f"{key}, 'a'"))
 
     def _noisy(self, g: Group) -> list:
         cfg = self.cfg
@@ -184,12 +228,13 @@ class Anonymizer:
         out, m = [], len(self.schema.quasi)
         for i, (a, v) in enumerate(zip(self.schema.quasi, g.centroid)):
             if a.kind != NUMERIC:
-                others = sorted(x for x in g.counts[i] if x != v)
-                if others and self._normal(self.draws, i, "go") < 0.1 * a.weight:
-                    v = others[int(self._uniform(self.draws, i, "pick") * len(others))]
+                if (len(g.counts[i]) > 1 or v not in g.counts[i]) and self._normal(f"{self.draws}, {i}, 'go'") < 0.1 * a.weight:
+                    others = sorted(x for x in g.counts[i] if x != v)
+                    if others:
+                        v = others[int(self._uniform(f"{self.draws}, {i}, 'pick'") * len(others))]
                 out.append(v)
                 continue
-            u = self._uniform(self.draws, i) - 0.5
+            u = self._uniform(f"{self.draws}, {i}") - 0.5
             e = -0.5 * m * self._sensitivity(i, a, v) / (cfg.k * cfg.eps) * math.copysign(1, u) * math.log(1 - 2 * abs(u))
             out.append(min(max(v + (abs(e) if cfg.noise == "one_sided" else e), a.lo), a.hi))
         return out
@@ -208,9 +253,9 @@ class Anonymizer:
     def _random(self, i: int, g: Group, seq: int):
         a = self.schema.quasi[i]
         if a.kind == NUMERIC:
-            return a.lo + self._uniform("s", seq, i) * a.span
+            return a.lo + self._uniform(f"'s', {seq}, {i}") * a.span
         values = a.values or tuple(sorted(g.counts[i]))
-        return values[int(self._uniform("s", seq, i) * len(values))]
+        return values[int(self._uniform(f"'s', {seq}, {i}") * len(values))]
 
     def _suppressed(self, i: int, g: Group, seq: int):
         a = self.schema.quasi[i]
@@ -218,11 +263,11 @@ class Anonymizer:
             return self._random(i, g, seq)
         if self.cfg.suppress == "midpoint":
             return (a.lo + a.hi) / 2
-        held = [r[1][i] for r in (g.window or g.before or [])]
-        if self.cfg.suppress == "uniform" or not held:
+        held = [r[1][i] for r in (g.window or g.before or [])] if self.cfg.suppress == "kernel" else []
+        if not held:
             return self._random(i, g, seq)
-        step = float(np.std(held)) * len(held) ** -0.2 * self._normal("s", seq, i, "step")
-        return min(max(held[int(self._uniform("s", seq, i, "at") * len(held))] + step, a.lo), a.hi)
+        step = float(np.std(held)) * len(held) ** -0.2 * self._normal(f"'s', {seq}, {i}, 'step'")
+        return min(max(held[int(self._uniform(f"'s', {seq}, {i}, 'at'") * len(held))] + step, a.lo), a.hi)
 
     # drift ---------------------------------------------------------------------------------------------------------
     def _drift(self, before: list[tuple], now: list[tuple]) -> bool:
