@@ -23,7 +23,7 @@ from veilspark.streaming.batch import anonymize
 from veilspark.streaming.buffered import nearest_groups
 from veilspark.streaming.detectors import Adwin, PageHinkley
 from veilspark.streaming.kernel import Anonymizer, Group
-from veilspark.streaming.learners import LEARNERS, Prequential
+from veilspark.streaming.learners import LEARNERS, NaiveBayes, Prequential
 from veilspark.streaming.nearest import Places, matcher
 
 X = Attribute("x", lo=0.0, hi=100.0)
@@ -327,6 +327,23 @@ def test_learners_beat_or_equal_the_majority(name):
     assert np.mean(right[500:]) > (0.4 if name == "majority" else 0.85)
 
 
+@pytest.mark.parametrize("name", ["leveraging_bag", "adaptive_random_forest", "hoeffding_adaptive_tree"])
+def test_a_record_is_judged_once_by_each_member(name, monkeypatch):
+    calls, predict = [], NaiveBayes.predict
+    monkeypatch.setattr(NaiveBayes, "predict", lambda self, x: calls.append(1) or predict(self, x))
+    r = random.Random(6)
+    records = [([r.random() * 10, r.random()], r.choice("ab")) for _ in range(900)]
+    records = [(x, "a" if x[0] > 5 else y) for x, y in records]
+    known, alone = LEARNERS[name](), LEARNERS[name]()
+    for x, y in records:
+        known.predict(x)
+        known.learn(x, y)
+    assert len(calls) == len(records) * len(getattr(known, "members", "1"))
+    for x, y in records:
+        alone.learn(x, y)
+    assert alone.predict([5.5, 0.5]) == known.predict([5.5, 0.5])
+
+
 def test_bounds_and_sweep(spark):
     with pytest.raises(ValueError):
         AnonymizerConfig(k=10, delta=5)

@@ -174,11 +174,11 @@ def per_pair(df: DataFrame, columns: list[str], statistics: dict[str, str]) -> D
     return df.select("pair", "tag", *columns).groupBy("pair").applyInPandas(run, "pair bigint, " + ", ".join(f"{k} double" for k in wanted))
 
 
-def fold_shards(df: DataFrame, shard: str, order: str, columns: list[str], step, schema: str, last: bool = False) -> DataFrame:
+def fold_shards(df: DataFrame, shard: str, order: str, columns: list[str], step, schema: str, last: bool = False, parts: int | None = None) -> DataFrame:
     """Runs an order-dependent detector along each shard: rows arrive sorted, so a task holds one state and one batch.
 
     ``step()`` makes a function from a row's values to a list of output tuples; its rows begin with the shard and the order column.
-    last: only what the last row of each shard gives is returned."""
+    last: only what the last row of each shard gives is returned. parts: a number of parts that are not merged by size, for few long shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, act, held = object(), None, []
@@ -197,7 +197,7 @@ def fold_shards(df: DataFrame, shard: str, order: str, columns: list[str], step,
         yield pd.DataFrame(held, columns=names)
 
     names = [f.split()[0] for f in schema.split(",")]
-    dealt = df.select(shard, order, *columns).repartition(shard).sortWithinPartitions(shard, order)
+    dealt = df.select(shard, order, *columns).repartition(*([parts] if parts else []), shard).sortWithinPartitions(shard, order)
     return dealt.mapInPandas(run, schema)
 
 

@@ -11,6 +11,12 @@ from ..shared import materialize
 BLOCK = 1 << 16
 
 
+def few_parts(df: DataFrame) -> int:
+    """Parts for few long shards, four to a core: merged by size, several would meet in one task; each empty part costs a task."""
+    spark = df.sparkSession
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def sorted_blocks(df: DataFrame, *order: str) -> DataFrame:
     """df in a global order, written once: ``_block`` is the range of the order that one task sorted, ``_nth`` the place in it, from 1. Ranges
     are cut by samples of the rows, so sparse and clustered keys make blocks as even as dense ones."""

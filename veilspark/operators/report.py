@@ -34,8 +34,18 @@ def run_report(pairs: DataFrame, cfg: AnonymizerConfig, dist: Column, raw: Colum
 def classifier_report(original: DataFrame, anonymized: DataFrame, key: list[str], positive: str, learner: str) -> DataFrame:
     """AUC of a learner's predictions on the original and on the anonymized stream, and the agreement of the two; predictions
     (key..., actual, pred, score) are aligned by key."""
-    side = lambda df: auc(df.select("score", (F.col("actual") == positive).cast("int").alias("y")), "score", "y")
     both = original.select(*key, F.col("pred").alias("a")).join(anonymized.select(*key, F.col("pred").alias("b")), key)
+    return _classifier_row(original, anonymized, both, positive, learner)
+
+
+def paired_report(pairs: DataFrame, positive: str, learner: str) -> DataFrame:
+    """The same where a row already has the predictions of both sides: actual, pred, score, shown_pred, shown_score."""
+    shown = pairs.select("actual", F.col("shown_score").alias("score"))
+    return _classifier_row(pairs, shown, pairs.select(F.col("pred").alias("a"), F.col("shown_pred").alias("b")), positive, learner)
+
+
+def _classifier_row(original: DataFrame, anonymized: DataFrame, both: DataFrame, positive: str, learner: str) -> DataFrame:
+    side = lambda df: auc(df.select("score", (F.col("actual") == positive).cast("int").alias("y")), "score", "y")
     row = F.broadcast(side(original).withColumnRenamed("auc", f"auc_original_{learner}"))  # one row each
     row = row.join(F.broadcast(side(anonymized).withColumnRenamed("auc", f"auc_anonymized_{learner}")), how="cross")
     return row.join(F.broadcast(kappa(both, "a", "b").withColumnRenamed("kappa", f"kappa_{learner}")), how="cross")

@@ -445,29 +445,27 @@ def parameter_sweep(spark, d):
 def classifier_comparison(spark, d):
     """Every learner on the original and on the published prices of each shard, and the agreement of the two; the learners run side by side."""
     o = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(8)).cast("string")).withColumns({"month": F.month("o_orderdate").cast("double"), "cust": F.col("o_custkey").cast("double"), "rank": F.col("o_rank").cast("double")})
-    anon = anonymize(o, ORDERS, AnonymizerConfig(k=20, threshold=0.1), "shard").select(F.col("seq").alias("o_orderkey"), F.col("anon_o_totalprice").alias("price"))
+    anon = anonymize(o, ORDERS, AnonymizerConfig(k=20, threshold=0.1), "shard").select(F.col("seq").alias("o_orderkey"), F.col("anon_o_totalprice").alias("shown"))
     own = o.select("shard", "o_orderkey", F.col("o_totalprice").alias("price"), "month", "cust", "rank", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
-    shown = own.drop("price").join(anon, "o_orderkey").select(own.columns)
+    both = own.join(anon, "o_orderkey")
 
     def step():
         held = {}
 
-        def act(learner, *values):
+        def act(learner, price, shown, *rest):
             if learner not in held:
-                held[learner] = Prequential(learner, "high")
-            return [(learner, *p) for p in held[learner](*values)]
+                held[learner] = Prequential(learner, "high"), Prequential(learner, "high")
+            one, two = held[learner]
+            return [(learner, *p, *q[1:]) for p, q in zip(one(price, *rest), two(shown, *rest))]
 
         return act
 
-    def guess(df):
-        each = df.withColumn("learner", F.explode(F.array(*[F.lit(x) for x in LEARNERS]))).withColumn("shard", F.concat_ws("|", "learner", "shard"))
-        kinds = "shard string, o_orderkey bigint, learner string, actual string, pred string, score double"
-        return materialize(C.fold_shards(each, "shard", "o_orderkey", ["learner", "price", "month", "cust", "rank", "y"], step, kinds), "guesses")
-
-    first, second = guess(own), guess(shown)
+    each = both.withColumn("learner", F.explode(F.array(*[F.lit(x) for x in LEARNERS]))).withColumn("shard", F.concat_ws("|", "learner", "shard"))
+    kinds = "shard string, o_orderkey bigint, learner string, actual string, pred string, score double, shown_pred string, shown_score double"
+    guesses = materialize(C.fold_shards(each, "shard", "o_orderkey", ["learner", "price", "shown", "month", "cust", "rank", "y"], step, kinds, parts=O.few_parts(each)), "guesses")
     rows = []
     for x in LEARNERS:
-        row = R.classifier_report(first.where(F.col("learner") == x), second.where(F.col("learner") == x), ["shard", "o_orderkey"], "high", x)
+        row = R.paired_report(guesses.where(F.col("learner") == x), "high", x)
         rows.append(row.select(F.lit(x).alias("learner"), *[F.col(f"{c}_{x}").alias(c) for c in ("auc_original", "auc_anonymized", "kappa")]))
     return reduce(DataFrame.unionByName, rows)
 
