@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnonymizerConfig
+from ..operators.ordering import few_parts
 from ..schema import NUMERIC, StreamSchema
 from .kernel import Anonymizer
 
@@ -61,9 +62,7 @@ def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Calla
         if kernel is not None:
             yield batch([(current, kernel.flush())], schema, shard)
 
-    # a number of parts is given, for parts merged by size would put several long shards in one task while other cores are idle
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(df[shard].cast("string").alias(shard), *columns[1:]).repartition(parts, shard).sortWithinPartitions(shard, schema.seq)
+    dealt = df.select(df[shard].cast("string").alias(shard), *columns[1:]).repartition(few_parts(df), shard).sortWithinPartitions(shard, schema.seq)
     return dealt.mapInArrow(run, output_schema(schema, shard))
 
 
