@@ -134,7 +134,7 @@ def orders_of(regions, each, seed=2):
         yield i, (round(r.random() * 5e5, 2), 15000 * (i // each) + r.randrange(15000), r.choice("12345"), r.choice("FOP")), r.choice(PRIORITIES)
 
 
-@pytest.mark.parametrize("cfg", [AnonymizerConfig(k=5, threshold=0.12, delta=600, gap=True), AnonymizerConfig(k=20, threshold=0.15, delta=20000), AnonymizerConfig(k=20, threshold=0.15, delta=2000, gap=True, drift="centroid", noise="one_sided", sensitivity="observed", suppress="uniform")])
+@pytest.mark.parametrize("cfg", [AnonymizerConfig(k=5, threshold=0.12, delta=600, gap=True), AnonymizerConfig(k=20, threshold=0.15, delta=20000), AnonymizerConfig(k=20, threshold=0.15, publisher="random"), AnonymizerConfig(k=20, threshold=0.15, delta=2000, gap=True, drift="centroid", noise="one_sided", sensitivity="observed", suppress="uniform")])
 def test_a_search_does_not_grow_with_the_open_groups(cfg):
     kernel, looked = Anonymizer(MIXED, cfg), []
     about = kernel.places.about
