@@ -188,6 +188,32 @@ def test_a_restored_state_goes_on_alike(cfg):
     assert two.flush() == one.flush() and any(got)
 
 
+def test_shards_are_dealt_by_size(spark, monkeypatch):
+    df = spark.range(6000).select(F.when(F.col("id") % 17 < 16, (F.col("id") % 17).cast("string")).alias("shard"), (6000 - F.col("id")).alias("seq"))
+    held = [[(r.shard, r.seq) for r in part] for part in ordering.dealt(df, "shard", "seq").rdd.glom().collect()]
+    assert sorted(len({s for s, _ in part}) for part in held) == [1] * 17  # one of them is the null shard
+    assert all(part == sorted(part, key=lambda r: r[1]) for part in held) and sum(map(len, held)) == 6000
+    monkeypatch.setattr(ordering, "OWN", 3)
+    monkeypatch.setattr(ordering, "SIZED", 9)  # the others go by hash
+    skewed = df.where("shard is null or shard = '0' or id % 10 = 0")
+    few = [[(r.shard, r.seq) for r in part] for part in ordering.dealt(skewed, "shard", "seq").rdd.glom().collect()]
+    assert len(few) == 4 and sum(map(len, few)) == skewed.count() and sorted(x for part in few for s in {s for s, _ in part} for x in [str(s)]) == sorted(str(s) for s in {r.shard for r in skewed.collect()})
+    assert not [part for part in few if {None, "0"} <= {s for s, _ in part}]
+    assert all([s for i, (s, _) in enumerate(part) if i == 0 or part[i - 1][0] != s] == sorted({s for s, _ in part}, key=lambda s: (s is not None, s or "")) for part in few)
+    assert ordering.dealt(df.where("false"), "shard", "seq").count() == 0
+
+
+@pytest.mark.parametrize("name", ["microagg_gap", "microagg_randomized"])
+def test_each_shard_of_the_kernels_queries_has_a_task(spark, name):
+    out = QUERIES[name](spark, "/root/testdata/sf0.001").select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(out) == len({r.p for r in out}) == 16
+
+
+def test_the_sign_of_a_normal_draw_settles_whether_it_is_under_a_limit():
+    kernel = Anonymizer(MIXED, AnonymizerConfig())
+    assert all(kernel._normal_under(str(i), x) == (kernel._normal(str(i)) < x) for i in range(500) for x in (-0.5, 0.0, 0.05, 2.0))
+
+
 def test_floored_centroids_and_drift_reset():
     a = Attribute("x", discrete=True, lo=0, hi=100)
     kernel = Anonymizer(StreamSchema("seq", (a,), SCHEMA.sensitive), AnonymizerConfig(k=100, threshold=2.0, floor_discrete=True))

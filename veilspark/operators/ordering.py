@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heapreplace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from ..shared import materialize
 
 #: Positions in one block of a running sum; a block is what one task sorts at a time.
 BLOCK = 1 << 16
+#: Up to so many shards each get a part of their own, and the parts of more are at least so many.
+OWN = 32
+#: So many of the largest shards are dealt by their sizes; all others, which are smaller, by hash.
+SIZED = 4096
 
 
 def few_parts(df: DataFrame) -> int:
@@ -17,6 +23,23 @@ def few_parts(df: DataFrame) -> int:
     return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
+def dealt(df: DataFrame, shard: str, order: str) -> DataFrame:
+    """df with every shard whole in one part and in order there. The largest shard goes first, each to the part that has least so far, and
+    parts begin in that order: by hash, several long shards meet in one task while cores stand idle. Counts the rows of each shard first."""
+    sizes = df.groupBy(shard).agg(F.count("*").alias("n")).orderBy(F.desc("n"), shard).limit(SIZED).collect()  # at most SIZED rows
+    parts = max(1, len(sizes)) if len(sizes) <= OWN else max(OWN, few_parts(df))
+    loads, places = [(0, p) for p in range(parts)], []
+    heapify(loads)
+    for s, n in sizes:
+        load, p = loads[0]
+        heapreplace(loads, (load + n, p))
+        places.append((s, p))
+    known = df.sparkSession.createDataFrame(places, f"_shard {df.schema[shard].dataType.simpleString()}, _part int")
+    put = df.join(F.broadcast(known), F.col(shard).eqNullSafe(F.col("_shard")), "left")  # at most SIZED rows
+    put = put.repartitionById(parts, F.coalesce("_part", F.pmod(F.hash(shard), F.lit(parts))))
+    return put.select(*[F.col(f"`{c}`") for c in df.columns]).sortWithinPartitions(shard, order)
+
+
 def sorted_blocks(df: DataFrame, *order: str) -> DataFrame:
     """df in a global order, written once: ``_block`` is the range of the order that one task sorted, ``_nth`` the place in it, from 1. Ranges
     are cut by samples of the rows, so sparse and clustered keys make blocks as even as dense ones."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnonymizerConfig
-from ..operators.ordering import few_parts
+from ..operators.ordering import dealt
 from ..schema import NUMERIC, StreamSchema
 from .kernel import Anonymizer
 
@@ -42,7 +42,7 @@ def batch(made: list[tuple[str, list[tuple]]], schema: StreamSchema, shard: str)
 
 
 def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Callable[[str], AnonymizerConfig], shard: str) -> DataFrame:
-    """Shards are dealt by key and arrive in order, so a task holds the open groups of one shard and one batch of rows, never a whole
+    """Shards are dealt by size and arrive in order, so a task holds the open groups of one shard and one batch of rows, never a whole
     shard. All of a shard is one sequence by definition; its guarantees are its own. ``cfg`` may depend on the shard."""
     columns = [shard, schema.seq, *(a.name for a in schema.quasi), schema.sensitive.name]
 
@@ -62,8 +62,8 @@ def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Calla
         if kernel is not None:
             yield batch([(current, kernel.flush())], schema, shard)
 
-    dealt = df.select(df[shard].cast("string").alias(shard), *columns[1:]).repartition(few_parts(df), shard).sortWithinPartitions(shard, schema.seq)
-    return dealt.mapInArrow(run, output_schema(schema, shard))
+    rows = df.select(df[shard].cast("string").alias(shard), *columns[1:])
+    return dealt(rows, shard, schema.seq).mapInArrow(run, output_schema(schema, shard))
 
 
 def anonymize_runs(df: DataFrame, schema: StreamSchema, runs: dict[str, AnonymizerConfig], shard: str) -> DataFrame:

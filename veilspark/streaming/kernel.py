@@ -6,12 +6,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter, deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 
 import numpy as np
-import xxhash
+from xxhash import xxh3_64_intdigest as digest
 
 from ..config import AnonymizerConfig
 from ..operators.drift import ks_threshold, pca_ks
@@ -59,12 +60,14 @@ class Anonymizer:
             self.places.put(g)
         self.aging = deque(g.id for g in sorted(self.groups.values(), key=lambda g: g.id) if g.waiting)
         self.find = matcher(self.schema, self.cfg.threshold)
-        self.numeric = [a.kind == NUMERIC for a in self.schema.quasi]
+        self.numbers = [i for i, a in enumerate(self.schema.quasi) if a.kind == NUMERIC]
+        self.names = [i for i, a in enumerate(self.schema.quasi) if a.kind != NUMERIC]
+        self.floored = {i for i in self.numbers if self.cfg.floor_discrete and self.schema.quasi[i].discrete}
         self.lead = repr((self.cfg.seed, self.shard))[:-1]
         self.keeps_window = self.cfg.drift != "none" or self.cfg.suppress == "kernel"
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("places", "aging", "find", "numeric", "lead", "keeps_window")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("places", "aging", "find", "numbers", "names", "floored", "lead", "keeps_window")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -159,17 +162,17 @@ class Anonymizer:
         first, centroid = g.size == 1, g.centroid
         if first:
             centroid[:] = values
-        for i, (numeric, v) in enumerate(zip(self.numeric, values)):
-            if not numeric:
-                counts, mode = g.counts[i], g.modes[i]
-                n = counts[v] = counts.get(v, 0) + 1
-                if first or v != mode and (n > counts[mode] or n == counts[mode] and v < mode):
-                    g.modes[i] = mode = v
-                centroid[i] = mode
-            elif not first:
-                n = g.size - 1 if self.cfg.true_mean else g.size
-                c = (centroid[i] * n + v) / (n + 1)
-                centroid[i] = math.floor(c) if self.cfg.floor_discrete and self.schema.quasi[i].discrete else c
+        for i in self.names:
+            v, counts, mode = values[i], g.counts[i], g.modes[i]
+            n = counts[v] = counts.get(v, 0) + 1
+            if first or v != mode and (n > counts[mode] or n == counts[mode] and v < mode):
+                g.modes[i] = mode = v
+            centroid[i] = mode
+        if not first:
+            n = g.size - 1 if self.cfg.true_mean else g.size
+            for i in self.numbers:
+                c = (centroid[i] * n + values[i]) / (n + 1)
+                centroid[i] = math.floor(c) if i in self.floored else c
         self.places.put(g)
 
     def _mean(self, window: list[tuple]) -> list:
@@ -188,18 +191,25 @@ class Anonymizer:
 
     def _publish(self, held: list[tuple], g: Group, shown: list, time: int) -> list[tuple]:
         """The rows of some records of a group, which has one status and one shown value for all of them."""
-        q, whole, out = self.schema.quasi, range(len(self.schema.quasi)), []
-        if g.size < self.cfg.k:
+        q, out = self.schema.quasi, []
+        if self.cfg.publisher == "random":
+            status = PUBLISHED
+        elif g.size < self.cfg.k:
             status = TOO_SMALL
         else:
             status = PUBLISHED if recursive_diverse(g.sensitive, self.cfg.l, self.cfg.c) else NOT_DIVERSE
-        draw = None if status == PUBLISHED else self._suppressed
-        if self.cfg.publisher == "random":
-            status, draw = PUBLISHED, self._random
-        typed = tuple(map(self._typed, q, shown)) if draw is None and held else ()
+        if not held:
+            return out
+        if self.cfg.publisher == "random" or status != PUBLISHED and self.cfg.suppress == "uniform":
+            show = self._drawn(g)
+        elif status != PUBLISHED:
+            show = lambda seq: tuple([self._typed(a, self._suppressed(i, g, seq)) for i, a in enumerate(q)])
+        else:
+            typed = tuple(map(self._typed, q, shown))
+            show = lambda seq: typed
         for seq, _, _ in held:
             self.published += 1
-            out.append((seq, time, self.published, g.id, status, typed if draw is None else tuple([self._typed(q[i], draw(i, g, seq)) for i in whole])))
+            out.append((seq, time, self.published, g.id, status, show(seq)))
         return out
 
     def _typed(self, a: Attribute, v):
@@ -214,38 +224,48 @@ class Anonymizer:
     # chance --------------------------------------------------------------------------------------------------------
     def _uniform(self, key: str) -> float:
         """``key`` as in the repr of a tuple that begins with seed and shard."""
-        h = xxhash.xxh3_64_intdigest(f"{self.lead}, {key})")
-        return ((h >> 12) + 0.5) / 2**52
+        return ((digest(f"{self.lead}, {key})") >> 12) + 0.5) / 2**52
 
     def _normal(self, key: str) -> float:
         return math.sqrt(-2 * math.log(self._uniform(f"{key}, 'r'"))) * math.cos(2 * math.pi * self._uniform(f"{key}, 'a'"))
 
+    def _normal_under(self, key: str, limit: float) -> bool:
+        """Whether the draw of ``_normal`` is under a limit; where the sign of its turn settles that, its radius, which is positive, is not drawn."""
+        turn = math.cos(2 * math.pi * self._uniform(f"{key}, 'a'"))
+        return turn <= 0 < limit or math.sqrt(-2 * math.log(self._uniform(f"{key}, 'r'"))) * turn < limit
+
     def _noisy(self, g: Group) -> list:
         cfg = self.cfg
         if cfg.noise == "none":
             return list(g.centroid)
         self.draws += 1
-        out, m = [], len(self.schema.quasi)
+        head, out = f"{self.lead}, {self.draws}, ", []
+        wide, level = -0.5 * len(self.schema.quasi), cfg.k * cfg.eps
         for i, (a, v) in enumerate(zip(self.schema.quasi, g.centroid)):
             if a.kind != NUMERIC:
-                if (len(g.counts[i]) > 1 or v not in g.counts[i]) and self._normal(f"{self.draws}, {i}, 'go'") < 0.1 * a.weight:
-                    others = sorted(x for x in g.counts[i] if x != v)
+                counts = g.counts[i]
+                if (len(counts) > 1 or v not in counts) and self._normal_under(f"{self.draws}, {i}, 'go'", 0.1 * a.weight):
+                    others = sorted([x for x in counts if x != v])
                     if others:
                         v = others[int(self._uniform(f"{self.draws}, {i}, 'pick'") * len(others))]
                 out.append(v)
                 continue
-            u = self._uniform(f"{self.draws}, {i}") - 0.5
-            e = -0.5 * m * self._sensitivity(i, a, v) / (cfg.k * cfg.eps) * math.copysign(1, u) * math.log(1 - 2 * abs(u))
+            u = ((digest(f"{head}{i})") >> 12) + 0.5) / 2**52 - 0.5
+            e = wide * self._sensitivity(i, a, v) / level * math.copysign(1, u) * math.log(1 - 2 * abs(u))
             out.append(min(max(v + (abs(e) if cfg.noise == "one_sided" else e), a.lo), a.hi))
         return out
 
     def _sensitivity(self, i: int, a: Attribute, v: float) -> float:
         if self.cfg.sensitivity == "domain":
             return a.span
-        lo, hi = self.ranges.get(i, [v, v])
-        self.ranges[i] = [min(lo, v), max(hi, v)]
-        past = self.history.setdefault(i, deque(maxlen=int(math.sqrt(self.cfg.k)) + 1))
-        now = self.ranges[i][1] - self.ranges[i][0]
+        seen = self.ranges.get(i)
+        if seen is None:
+            seen, self.history[i] = self.ranges.setdefault(i, [v, v]), deque(maxlen=int(math.sqrt(self.cfg.k)) + 1)
+        elif v < seen[0]:
+            seen[0] = v
+        elif v > seen[1]:
+            seen[1] = v
+        past, now = self.history[i], seen[1] - seen[0]
         shown = sum(past) / len(past) if len(past) == past.maxlen else now
         past.append(now)
         return shown
@@ -257,6 +277,26 @@ class Anonymizer:
         values = a.values or tuple(sorted(g.counts[i]))
         return values[int(self._uniform(f"'s', {seq}, {i}") * len(values))]
 
+    def _drawn(self, g: Group) -> Callable[[int], tuple]:
+        """A function from a record's seq to its random values, typed: those of ``_random`` for every attribute."""
+        plan = [
+            (f"{i})", a, a.discrete, a.lo, a.span, None, 0) if a.kind == NUMERIC else (f"{i})", a, False, None, None, held := a.values or sorted(g.counts[i]), len(held))
+            for i, a in enumerate(self.schema.quasi)
+        ]
+
+        def show(seq: int) -> tuple:
+            head, out = f"{self.lead}, 's', {seq}, ", []
+            for tail, a, discrete, lo, span, held, n in plan:
+                u = ((digest(head + tail) >> 12) + 0.5) / 2**52
+                if held is not None:
+                    out.append(held[int(u * n)])
+                else:
+                    v = lo + u * span
+                    out.append(self._typed(a, v) if v - v != 0 else int(v) if discrete else float(v))
+            return tuple(out)
+
+        return show
+
     def _suppressed(self, i: int, g: Group, seq: int):
         a = self.schema.quasi[i]
         if a.kind != NUMERIC:

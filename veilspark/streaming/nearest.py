@@ -69,6 +69,7 @@ class Places:
     def __init__(self, schema: StreamSchema, threshold: float):
         known = [i for i, a in enumerate(schema.quasi) if _measured(a) and a.weight > 0 and a.span > 0]
         self.at, self.cells, self.cell = None, {}, {}
+        self.near: dict[tuple, list] = {}  # what ``about`` found, until a group comes, goes or moves to another cell
         if known:
             at = max(known, key=lambda i: (schema.quasi[i].weight, -i))
             radius = _reach(schema, threshold) * schema.quasi[at].span / schema.quasi[at].weight
@@ -85,10 +86,12 @@ class Places:
             if self.cell[g.id] == cell:
                 return
             self.drop(g)
+        self.near.clear()
         self.cell[g.id] = cell
         self.cells.setdefault(cell, {})[g.id] = g
 
     def drop(self, g) -> None:
+        self.near.clear()
         cell = self.cell.pop(g.id)
         held = self.cells[cell]
         del held[g.id]
@@ -103,7 +106,14 @@ class Places:
         if x - x != 0:
             return ()
         wide = self.radius + abs(x) * 1e-12
-        cell, last, cells, out = (x - wide) // self.width, (x + wide) // self.width, self.cells, []
+        key = cell, last = (x - wide) // self.width, (x + wide) // self.width
+        out = self.near.get(key)
+        if out is None:
+            out = self.near[key] = self._between(cell, last)
+        return out
+
+    def _between(self, cell: float, last: float) -> list:
+        cells, out = self.cells, []
         if not last - cell < len(cells) or abs(cell) + abs(last) > 2**52:
             return [g for c, held in cells.items() if cell <= c <= last for g in held.values()]
         while cell <= last:
