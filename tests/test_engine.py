@@ -214,6 +214,20 @@ def test_the_sign_of_a_normal_draw_settles_whether_it_is_under_a_limit():
     assert all(kernel._normal_under(str(i), x) == (kernel._normal(str(i)) < x) for i in range(500) for x in (-0.5, 0.0, 0.05, 2.0))
 
 
+@pytest.mark.parametrize("cfg", [AnonymizerConfig(publisher="random"), AnonymizerConfig(suppress="uniform", seed=3)])
+def test_random_values_by_plan_are_those_drawn_one_by_one(cfg):
+    kernel, seen = Anonymizer(MIXED, cfg, "7"), []
+    for record in orders_of(1, 40):
+        kernel.step(*record)
+    for g in kernel.groups.values():
+        assert g.waiting and g.size < cfg.k
+        for seq, values in [(r[0], r[5]) for r in kernel._publish(list(g.waiting), g, g.centroid, 99)]:
+            assert values == tuple(kernel._typed(a, kernel._random(i, g, seq)) for i, a in enumerate(MIXED.quasi))
+            assert values == kernel._drawn(g)(seq)
+            seen.append(seq)
+    assert sorted(seen) == list(range(40)) and type(values[1]) is int
+
+
 def test_floored_centroids_and_drift_reset():
     a = Attribute("x", discrete=True, lo=0, hi=100)
     kernel = Anonymizer(StreamSchema("seq", (a,), SCHEMA.sensitive), AnonymizerConfig(k=100, threshold=2.0, floor_discrete=True))
