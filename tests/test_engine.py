@@ -19,10 +19,12 @@ from veilspark.plans.catalog import EVENTS, MIXED, ORACLES, PRIORITIES, QUERIES
 from veilspark.plans.single_cluster import single_cluster
 from veilspark.schema import NOMINAL, ORDINAL, Attribute, StreamSchema
 from veilspark.sources import readers, writers
+from veilspark.streaming import kernel as kernel_module
 from veilspark.streaming.batch import anonymize
 from veilspark.streaming.buffered import nearest_groups
 from veilspark.streaming.detectors import Adwin, PageHinkley
-from veilspark.streaming.kernel import Anonymizer, Group
+from veilspark.streaming.draws import uniforms
+from veilspark.streaming.kernel import Anonymizer, Group, listed
 from veilspark.streaming.learners import LEARNERS, NaiveBayes, Prequential
 from veilspark.streaming.nearest import Places, matcher
 
@@ -203,6 +205,11 @@ def test_shards_are_dealt_by_size(spark, monkeypatch):
     assert ordering.dealt(df.where("false"), "shard", "seq").count() == 0
 
 
+def test_shards_with_parts_of_their_own_are_sorted_by_the_order_alone(spark):
+    plan = lambda n: ordering.dealt(spark.range(500).select((F.col("id") % n).cast("string").alias("shard"), F.col("id").alias("seq")), "shard", "seq")._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort [seq#" in plan(16) and "Sort [shard#" in plan(40)
+
+
 @pytest.mark.parametrize("name", ["microagg_gap", "microagg_randomized"])
 def test_each_shard_of_the_kernels_queries_has_a_task(spark, name):
     out = QUERIES[name](spark, "/root/testdata/sf0.001").select("shard", F.spark_partition_id().alias("p")).distinct().collect()
@@ -228,6 +235,67 @@ def test_random_values_by_plan_are_those_drawn_one_by_one(cfg):
     assert sorted(seen) == list(range(40)) and type(values[1]) is int
 
 
+@pytest.mark.parametrize("shard", ["", "7", "it's", "ö" * 9, "k20_l2_eps0.01|3", "x" * 40])
+def test_draws_of_many_records_are_those_of_each(shard):
+    kernel, r = Anonymizer(MIXED, AnonymizerConfig(seed=1000 * len(shard) + 3), shard), random.Random(5)
+    seqs = [0, 9, 10, -1, -(2**63), 2**63 - 1, 10**18, 10**18 - 1, *(r.randrange(10 ** r.randrange(1, 19)) for _ in range(400))]
+    for i, got in enumerate(uniforms(f"{kernel.lead}, 's', ", seqs, [f", {i})" for i in range(12)])):
+        assert got.tolist() == [kernel._uniform(f"'s', {s}, {i}") for s in seqs]
+    assert [x.tolist() for x in uniforms("(", [], ["a", "b"])] == [[], []]
+
+
+@pytest.mark.parametrize("cfg", [AnonymizerConfig(k=20, threshold=0.15, publisher="random"), AnonymizerConfig(k=5, l=3, c=1.1, threshold=0.12, delta=300, suppress="uniform")])
+def test_random_values_of_a_batch_are_drawn_together(cfg, monkeypatch):
+    one, records = Anonymizer(MIXED, cfg, "7"), list(orders_of(4, 200))
+    want = [x for r in records for x in one.step(*r)] + one.flush()
+    many = Anonymizer(MIXED, cfg, "7", late=True)
+    monkeypatch.setattr(kernel_module, "digest", None)  # no draw is made by itself
+    rows = [x for r in records for x in many.step(*r)] + many.flush()
+    values = list(zip(*map(listed, many.shown(rows))))
+    assert [(*r[:5], v) for r, v in zip(rows, values)] == want and len(want) == 800
+    assert any(type(r[5]) is list for r in rows) and type(values[0][1]) is int and many.shown([]) == [[]] * 4
+
+
+def test_random_numbers_that_are_none_are_refused():
+    schema = StreamSchema("seq", (Attribute("x", lo=0.0, hi=math.inf),), SCHEMA.sensitive)
+    for late in (False, True):
+        kernel = Anonymizer(schema, AnonymizerConfig(k=1, buffer=2, threshold=2.0, publisher="random"), late=late)
+        with pytest.raises(ValueError, match="no number"):
+            kernel.shown(kernel.step(1, (1.0,), "a") + kernel.flush())
+
+
+def test_what_a_search_found_is_kept_until_a_group_near_it_changes():
+    places, groups = Places(MIXED, 0.15), [Group(i, centroid=[1e5, 1e3 + 1e6 * (i % 2), "1", "F"]) for i in range(6)]
+    for g in groups[:4]:
+        places.put(g)
+    near, far = places.about((0, 1000, "1", "F")), places.about((0, 1001000, "1", "F"))
+    assert [g.id for g in near] == [0, 2] and [g.id for g in far] == [1, 3]
+    places.put(groups[4])
+    assert places.about((0, 1001000, "1", "F")) is far and [g.id for g in places.about((0, 1000, "1", "F"))] == [0, 2, 4]
+    places.drop(groups[3])
+    assert [g.id for g in places.about((0, 1001000, "1", "F"))] == [1]
+    kernel = Anonymizer(MIXED, AnonymizerConfig(k=20, threshold=0.15, delta=2000, gap=True, drift="centroid"))
+    for record in orders_of(6, 300):
+        kernel.step(*record)
+        for cell, found in kernel.places.near.items():
+            assert sorted(g.id for g in found) == sorted(g.id for c, held in kernel.places.cells.items() if abs(c - cell) <= 2 for g in held.values())
+
+
+@pytest.mark.parametrize("base", [0, 9e10, 2.1094e11, 5e13])
+def test_search_among_large_numbers(base):
+    r, places, groups = random.Random(8), Places(MIXED, 0.15), []
+    kernel = Anonymizer(MIXED, AnonymizerConfig(threshold=0.15))
+    for i in range(300):
+        groups.append(Group(i, centroid=[r.random() * 5e5, base + r.random() * 1e5, r.choice("12345"), r.choice("FOP")]))
+        places.put(groups[-1])
+    for i in range(300):
+        at = r.choice([base + r.random() * 1e5, groups[i].centroid[1] + r.choice([-1, 1]) * 4218.75])
+        x = (groups[i].centroid[0] if i % 2 else r.random() * 5e5, at, groups[i].centroid[2], groups[i].centroid[3])
+        near = [g for g in groups if kernel.distance(x, g.centroid) <= 0.15]
+        raw = lambda g: math.sqrt(sum((p - q) ** 2 if a.kind == "numeric" else float(p != q) for a, p, q in zip(MIXED.quasi, x, g.centroid)))  # noqa: B023, E731
+        assert matcher(MIXED, 0.15)(places.about(x), x) is (min(near, key=lambda g: (raw(g), g.id)) if near else None)
+
+
 def test_floored_centroids_and_drift_reset():
     a = Attribute("x", discrete=True, lo=0, hi=100)
     kernel = Anonymizer(StreamSchema("seq", (a,), SCHEMA.sensitive), AnonymizerConfig(k=100, threshold=2.0, floor_discrete=True))

@@ -37,7 +37,8 @@ def dealt(df: DataFrame, shard: str, order: str) -> DataFrame:
     known = df.sparkSession.createDataFrame(places, f"_shard {df.schema[shard].dataType.simpleString()}, _part int")
     put = df.join(F.broadcast(known), F.col(shard).eqNullSafe(F.col("_shard")), "left")  # at most SIZED rows
     put = put.repartitionById(parts, F.coalesce("_part", F.pmod(F.hash(shard), F.lit(parts))))
-    return put.select(*[F.col(f"`{c}`") for c in df.columns]).sortWithinPartitions(shard, order)
+    # where every shard has a part of its own, the order leads: a sort by a shard that is the same in all rows must compare whole rows
+    return put.select(*[F.col(f"`{c}`") for c in df.columns]).sortWithinPartitions(*((order, shard) if len(sizes) <= OWN else (shard, order)))
 
 
 def sorted_blocks(df: DataFrame, *order: str) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnonymizerConfig
 from ..operators.ordering import dealt
 from ..schema import NUMERIC, StreamSchema
-from .kernel import Anonymizer
+from .kernel import Anonymizer, listed
 
 
 def output_schema(schema: StreamSchema, shard: str) -> str:
@@ -31,14 +33,14 @@ def frame(rows: list[tuple], schema: StreamSchema, shard: str) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in whole})
 
 
-def batch(made: list[tuple[str, list[tuple]]], schema: StreamSchema, shard: str) -> pa.RecordBatch:
-    """The same from (shard, rows of it), column by column."""
+def batch(made: list[tuple[str, list[tuple], list]], schema: StreamSchema, shard: str) -> pa.RecordBatch:
+    """The same from (shard, rows of it, their shown values by attribute), column by column."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *(pa.string() if a.kind != NUMERIC else pa.int64() if a.discrete else pa.float64() for a in schema.quasi)]
-    rows = [r for _, some in made for r in some]
-    facts = list(zip(*rows)) or [()] * 6
-    columns = [*facts[:5], *(zip(*facts[5]) if rows else [()] * len(schema.quasi))]
-    shards = [s for s, some in made for _ in some]
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds))], output_names(schema, shard))
+    rows = [r for _, some, _ in made for r in some]
+    facts = list(zip(*rows))[:5] or [()] * 5
+    shown = [made[0][2][i] if len(made) == 1 else [v for _, _, x in made for v in listed(x[i])] for i in range(len(schema.quasi))]
+    shards = pa.repeat(pa.scalar(made[0][0], pa.string()), len(rows)) if len(made) == 1 else pa.array([s for s, some, _ in made for _ in some], pa.string())
+    return pa.RecordBatch.from_arrays([shards, *(pa.array(c, k) for c, k in zip([*facts, *shown], kinds))], output_names(schema, shard))
 
 
 def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Callable[[str], AnonymizerConfig], shard: str) -> DataFrame:
@@ -47,20 +49,28 @@ def anonymize(df: DataFrame, schema: StreamSchema, cfg: AnonymizerConfig | Calla
     columns = [shard, schema.seq, *(a.name for a in schema.quasi), schema.sensitive.name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, kernel, step = None, None, None
+        current, kernel = None, None
         for rows in batches:
-            out, made = [], []  # (shard, its rows) of the shards that end in this batch; the rows of the one that goes on
-            shards, seqs, *values, sensitives = [c.to_pandas().tolist() for c in rows.columns]
-            for s, seq, x, sensitive in zip(shards, seqs, zip(*values), sensitives):
+            out = []  # (shard, its rows, what they show) of every shard in this batch
+            runs = pc.run_end_encode(rows.columns[0], run_end_type=pa.int64())
+            seqs, *values, sensitives = [c.to_pandas().tolist() for c in rows.columns[1:]]
+            records, begin = zip(map(int, seqs), zip(*values), sensitives), 0
+            for s, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if kernel is None or s != current:
                     if kernel is not None:
-                        out.append((current, made + kernel.flush()))
-                    current, made, kernel = s, [], Anonymizer(schema, cfg(s) if callable(cfg) else cfg, str(s))
-                    step = kernel.step
-                made += step(int(seq), x, sensitive)
-            yield batch([*out, (current, made)], schema, shard)
+                        ended = kernel.flush()
+                        out.append((current, ended, kernel.shown(ended)))
+                    current, kernel = s, Anonymizer(schema, cfg(s) if callable(cfg) else cfg, str(s), late=True)
+                step, made = kernel.step, []
+                for seq, x, sensitive in islice(records, end - begin):
+                    made += step(seq, x, sensitive)
+                out.append((s, made, kernel.shown(made)))
+                begin = end
+            if out:
+                yield batch(out, schema, shard)
         if kernel is not None:
-            yield batch([(current, kernel.flush())], schema, shard)
+            ended = kernel.flush()
+            yield batch([(current, ended, kernel.shown(ended))], schema, shard)
 
     rows = df.select(df[shard].cast("string").alias(shard), *columns[1:])
     return dealt(rows, shard, schema.seq).mapInArrow(run, output_schema(schema, shard))

@@ -1,6 +1,6 @@
 """The order-dependent anonymizer of one shard: online grouping with size bounds, release, noise and drift.
 
-Plain Python and numpy; the batch and the streaming drivers run this same code, and its state can be pickled between batches."""
+Plain Python, numpy and Arrow; the batch and the streaming drivers run this same code, and its state can be pickled between batches."""
 
 from __future__ import annotations
 
@@ -8,20 +8,26 @@ import math
 from collections import Counter, deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh3_64_intdigest as digest
 
 from ..config import AnonymizerConfig
 from ..operators.drift import ks_threshold, pca_ks
 from ..schema import NUMERIC, ORDINAL, Attribute, StreamSchema
+from .draws import uniforms
 from .nearest import Places, matcher
 
 PUBLISHED, TOO_SMALL, NOT_DIVERSE, LATE = 0, 1, 2, 3
 
 
+def listed(column) -> list:
+    return column if isinstance(column, list) else column.tolist()
+
+
 def recursive_diverse(counts: Counter, l: int, c: float) -> bool:  # noqa: E741
     r = sorted(counts.values(), reverse=True)
     return len(r) >= l and r[0] < c * sum(r[l - 1 :])
@@ -39,13 +45,38 @@ class Group:
     before: list[tuple] | None = None
     newest: int = 0
     modes: list = field(default_factory=list)  # the most frequent value so far of each attribute that is no number
+    held: list | None = None  # what random values are picked from, until a record brings a new value
+
+
+@lru_cache(maxsize=64)
+def taker(schema: StreamSchema, true_mean: bool, floor_discrete: bool, keeps_window: bool) -> Callable:
+    """A function (group, seq, values, sensitive) that adds a record to a group, written out for this schema."""
+    q = schema.quasi
+    body = ["n = g.size = g.size + 1", "g.newest = seq", "g.sensitive[sensitive] += 1", "record = (seq, values, sensitive)", "g.waiting.append(record)"]
+    body += ["g.window.append(record)"] * keeps_window
+    body += [f"({''.join(f'v{i}, ' for i in range(len(q)))}) = values", "centroid, counts, modes = g.centroid, g.counts, g.modes", "first = n == 1", "if first: centroid[:] = values"]
+    body += ["n -= 1"] * true_mean
+    numbers = []
+    for i, a in enumerate(q):
+        if a.kind == NUMERIC:
+            c = f"(centroid[{i}] * n + v{i}) / (n + 1)"
+            numbers.append(f"    centroid[{i}] = {f'floor({c})' if floor_discrete and a.discrete else c}")
+            continue
+        body += [f"seen, mode = counts[{i}], modes[{i}]", f"m = seen[v{i}] = seen.get(v{i}, 0) + 1"]
+        body += ["if m == 1: g.held = None"] * (not a.values)
+        body += [f"if first or v{i} != mode and (m > seen[mode] or m == seen[mode] and v{i} < mode): mode = modes[{i}] = v{i}", f"centroid[{i}] = mode"]
+    body += ["if not first:", *numbers] if numbers else []
+    space = {"floor": math.floor}
+    exec("\n    ".join(["def take(g, seq, values, sensitive):", *body]), space)  # only places of attributes are written into the source
+    return space["take"]
 
 
 class Anonymizer:
-    """step() takes a record (seq, values, sensitive) and returns what it publishes: (seq, publish_time, pub_seq, cluster, status, values)."""
+    """step() takes a record (seq, values, sensitive) and returns what it publishes: (seq, publish_time, pub_seq, cluster, status, values).
+    With ``late``, uniform draws are not made one by one: such a row has a list of what they pick from, and ``shown`` draws those of many rows."""
 
-    def __init__(self, schema: StreamSchema, cfg: AnonymizerConfig, shard: str = ""):
-        self.schema, self.cfg, self.shard = schema, cfg, shard
+    def __init__(self, schema: StreamSchema, cfg: AnonymizerConfig, shard: str = "", late: bool = False):
+        self.schema, self.cfg, self.shard, self.late = schema, cfg, shard, late
         self.groups: dict[int, Group] = {}
         self.opened = self.published = self.draws = 0
         self.last: int | None = None
@@ -60,18 +91,18 @@ class Anonymizer:
             self.places.put(g)
         self.aging = deque(g.id for g in sorted(self.groups.values(), key=lambda g: g.id) if g.waiting)
         self.find = matcher(self.schema, self.cfg.threshold)
-        self.numbers = [i for i, a in enumerate(self.schema.quasi) if a.kind == NUMERIC]
-        self.names = [i for i, a in enumerate(self.schema.quasi) if a.kind != NUMERIC]
-        self.floored = {i for i in self.numbers if self.cfg.floor_discrete and self.schema.quasi[i].discrete}
-        self.lead = repr((self.cfg.seed, self.shard))[:-1]
         self.keeps_window = self.cfg.drift != "none" or self.cfg.suppress == "kernel"
+        self.take = taker(self.schema, self.cfg.true_mean, self.cfg.floor_discrete, self.keeps_window)
+        self.retire = self.cfg.retire
+        self.lead = repr((self.cfg.seed, self.shard))[:-1]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("places", "aging", "find", "numbers", "names", "floored", "lead", "keeps_window")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("places", "aging", "find", "take", "lead", "keeps_window", "retire")}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+        self.__dict__.update({"late": False} | state)
         for g in self.groups.values():
+            g.__dict__.setdefault("held", None)
             g.__dict__.setdefault("modes", [None if a.kind == NUMERIC or not n else min(n, key=lambda x: (-n[x], x)) for a, n in zip(self.schema.quasi, g.counts)])  # noqa: B023
         self._derive()
 
@@ -108,19 +139,22 @@ class Anonymizer:
                 self.aging.popleft()
         g = self.find(self.places.about(values), values)
         if g is None:
-            self._take(self._open(), seq, values, sensitive)
+            g = self._open()
+            self.take(g, seq, values, sensitive)
+            self.places.put(g)
             return out
         if cfg.delta is not None and cfg.gap and seq - g.newest >= cfg.delta:
             out += self._remove(g, seq)
             g = self._open()
-        self._take(g, seq, values, sensitive)
+        self.take(g, seq, values, sensitive)
+        self.places.put(g)
         if g.size >= cfg.k:
             held, g.waiting = g.waiting, []
             held.reverse()
             out += self._publish(held, g, self._noisy(g), seq)
-        if g.size >= cfg.retire:
+        if g.size >= self.retire:
             self._drop(g)
-        if len(g.window) >= cfg.buffer:
+        if self.keeps_window and len(g.window) >= cfg.buffer:
             drifted = g.before is not None and self._drift(g.before, g.window)
             g.before, g.window = g.window, []
             if drifted:
@@ -151,30 +185,6 @@ class Anonymizer:
         del self.groups[g.id]
         self.places.drop(g)
 
-    def _take(self, g: Group, seq: int, values: tuple, sensitive: str) -> None:
-        g.size += 1
-        g.newest = seq
-        g.sensitive[sensitive] += 1
-        record = (seq, values, sensitive)
-        g.waiting.append(record)
-        if self.keeps_window:
-            g.window.append(record)
-        first, centroid = g.size == 1, g.centroid
-        if first:
-            centroid[:] = values
-        for i in self.names:
-            v, counts, mode = values[i], g.counts[i], g.modes[i]
-            n = counts[v] = counts.get(v, 0) + 1
-            if first or v != mode and (n > counts[mode] or n == counts[mode] and v < mode):
-                g.modes[i] = mode = v
-            centroid[i] = mode
-        if not first:
-            n = g.size - 1 if self.cfg.true_mean else g.size
-            for i in self.numbers:
-                c = (centroid[i] * n + values[i]) / (n + 1)
-                centroid[i] = math.floor(c) if i in self.floored else c
-        self.places.put(g)
-
     def _mean(self, window: list[tuple]) -> list:
         out = []
         for i, a in enumerate(self.schema.quasi):
@@ -191,26 +201,29 @@ class Anonymizer:
 
     def _publish(self, held: list[tuple], g: Group, shown: list, time: int) -> list[tuple]:
         """The rows of some records of a group, which has one status and one shown value for all of them."""
-        q, out = self.schema.quasi, []
-        if self.cfg.publisher == "random":
+        if not held:
+            return []
+        q, cfg, id, first = self.schema.quasi, self.cfg, g.id, self.published + 1
+        self.published += len(held)
+        if cfg.publisher == "random":
             status = PUBLISHED
-        elif g.size < self.cfg.k:
+        elif g.size < cfg.k:
             status = TOO_SMALL
         else:
-            status = PUBLISHED if recursive_diverse(g.sensitive, self.cfg.l, self.cfg.c) else NOT_DIVERSE
-        if not held:
-            return out
-        if self.cfg.publisher == "random" or status != PUBLISHED and self.cfg.suppress == "uniform":
-            show = self._drawn(g)
+            status = PUBLISHED if recursive_diverse(g.sensitive, cfg.l, cfg.c) else NOT_DIVERSE
+        show = typed = None
+        if cfg.publisher == "random" or status != PUBLISHED and cfg.suppress == "uniform":
+            if self.late:
+                typed = g.held or self._held(g)
+            else:
+                show = self._drawn(g)
         elif status != PUBLISHED:
             show = lambda seq: tuple([self._typed(a, self._suppressed(i, g, seq)) for i, a in enumerate(q)])
         else:
             typed = tuple(map(self._typed, q, shown))
-            show = lambda seq: typed
-        for seq, _, _ in held:
-            self.published += 1
-            out.append((seq, time, self.published, g.id, status, show(seq)))
-        return out
+        if show is None:
+            return [(r[0], time, n, id, status, typed) for n, r in enumerate(held, first)]
+        return [(r[0], time, n, id, status, show(r[0])) for n, r in enumerate(held, first)]
 
     def _typed(self, a: Attribute, v):
         if a.kind != NUMERIC:
@@ -237,7 +250,7 @@ class Anonymizer:
     def _noisy(self, g: Group) -> list:
         cfg = self.cfg
         if cfg.noise == "none":
-            return list(g.centroid)
+            return g.centroid
         self.draws += 1
         head, out = f"{self.lead}, {self.draws}, ", []
         wide, level = -0.5 * len(self.schema.quasi), cfg.k * cfg.eps
@@ -277,26 +290,51 @@ class Anonymizer:
         values = a.values or tuple(sorted(g.counts[i]))
         return values[int(self._uniform(f"'s', {seq}, {i}") * len(values))]
 
+    def _held(self, g: Group) -> list:
+        """What a random value of each attribute is picked from: None for a number, which is drawn from its domain."""
+        if g.held is None:
+            g.held = [None if a.kind == NUMERIC else a.values or tuple(sorted(g.counts[i])) for i, a in enumerate(self.schema.quasi)]
+        return g.held
+
     def _drawn(self, g: Group) -> Callable[[int], tuple]:
         """A function from a record's seq to its random values, typed: those of ``_random`` for every attribute."""
-        plan = [
-            (f"{i})", a, a.discrete, a.lo, a.span, None, 0) if a.kind == NUMERIC else (f"{i})", a, False, None, None, held := a.values or sorted(g.counts[i]), len(held))
-            for i, a in enumerate(self.schema.quasi)
-        ]
+        plan = [(f"{i})", a, held, len(held or ())) for i, (a, held) in enumerate(zip(self.schema.quasi, self._held(g)))]
 
         def show(seq: int) -> tuple:
             head, out = f"{self.lead}, 's', {seq}, ", []
-            for tail, a, discrete, lo, span, held, n in plan:
+            for tail, a, held, n in plan:
                 u = ((digest(head + tail) >> 12) + 0.5) / 2**52
-                if held is not None:
-                    out.append(held[int(u * n)])
-                else:
-                    v = lo + u * span
-                    out.append(self._typed(a, v) if v - v != 0 else int(v) if discrete else float(v))
+                out.append(self._typed(a, a.lo + u * a.span) if held is None else held[int(u * n)])
             return tuple(out)
 
         return show
 
+    def shown(self, rows: list[tuple]) -> list:
+        """The values of rows that step() and flush() returned, a column for each attribute; draws that were put off are those of ``_drawn``."""
+        late = [j for j, r in enumerate(rows) if type(r[5]) is list]
+        columns = [[] for _ in self.schema.quasi] if len(late) == len(rows) else [list(c) for c in zip(*[r[5] for r in rows])]
+        if not late:
+            return columns
+        some = rows if len(late) == len(rows) else [rows[j] for j in late]
+        draws = uniforms(f"{self.lead}, 's', ", [r[0] for r in some], [f", {i})" for i in range(len(columns))])
+        for i, (a, u) in enumerate(zip(self.schema.quasi, draws)):
+            if a.kind == NUMERIC:
+                v = a.lo + u * a.span
+                if not np.isfinite(v).all():
+                    raise ValueError(f"{a.name}: {v[~np.isfinite(v)][0]!r} is no number to publish")
+                drawn = v.astype(np.int64) if a.discrete else v
+            elif a.values:
+                drawn = pa.array(a.values, pa.string()).take(pa.array((u * len(a.values)).astype(np.int64)))
+            else:
+                held = [r[5][i] for r in some]
+                drawn = [h[n] for h, n in zip(held, (u * np.fromiter(map(len, held), float, len(held))).astype(int).tolist())]
+            if some is rows:
+                columns[i] = drawn
+            else:
+                for j, v in zip(late, listed(drawn)):
+                    columns[i][j] = v
+        return columns
+
     def _suppressed(self, i: int, g: Group, seq: int):
         a = self.schema.quasi[i]
         if a.kind != NUMERIC:
