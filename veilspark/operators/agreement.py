@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from .ordering import before_block, sorted_blocks
 
 
-def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Cohen's kappa in percent, from the contingency table."""
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
-    rows, columns = cells.groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("ra")), cells.groupBy(F.col("b").alias("v")).agg(F.sum("n").alias("rb"))
-    chance = F.broadcast(rows.join(columns, "v").agg(F.sum(F.col("ra") * F.col("rb")).alias("chance")))
-    seen = F.broadcast(cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0.0)).alias("same")))
+def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """Cohen's kappa in percent, from the contingency table; ``by``: one for each group, in one pass."""
+    by = by or []
+    cells = df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    rows, columns = cells.groupBy(*by, F.col("a").alias("v")).agg(F.sum("n").alias("ra")), cells.groupBy(*by, F.col("b").alias("v")).agg(F.sum("n").alias("rb"))
+    chance = F.broadcast(rows.join(columns, [*by, "v"]).groupBy(*by).agg(F.sum(F.col("ra") * F.col("rb")).alias("chance")))
+    seen = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0.0)).alias("same"))
+    both = seen.join(chance, by, "left") if by else F.broadcast(seen).join(chance, how="cross")
     p0, pe = F.col("same") / F.col("n"), F.coalesce(F.col("chance"), F.lit(0.0)) / (F.col("n") * F.col("n"))
-    return seen.join(chance, how="cross").select(F.round(F.when(pe == 1, F.lit(float("nan"))).otherwise((p0 - pe) / (1 - pe) * 100), 6).alias("kappa"))
+    return both.select(*by, F.round(F.when(pe == 1, F.lit(float("nan"))).otherwise((p0 - pe) / (1 - pe) * 100), 6).alias("kappa"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve from counts by score: ties count half. Only the distinct scores are put in order."""
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    blocks = sorted_blocks(counts, "s")
-    inside = Window.partitionBy("_block").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve from counts by score: ties count half. Only the distinct scores are put in order. ``by``: one for each
+    group, all groups in one order; null where a class is missing."""
+    by = by or []
+    counts = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
+    blocks = sorted_blocks(counts, *by, "s")
+    inside = Window.partitionBy("_block", *by).orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_below") + F.coalesce(F.sum("q").over(inside), F.lit(0))
-    held = blocks.join(before_block(blocks, _below=F.sum("q")), "_block").withColumn("below", below)
-    won = held.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return won.select(F.round(F.col("won") / (F.col("p").cast("double") * F.col("q")), 9).alias("auc"))
+    held = blocks.join(before_block(blocks, *by, _below=F.sum("q")), ["_block", *by]).withColumn("below", below)
+    won = held.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    pairs = F.col("p").cast("double") * F.col("q")
+    return won.select(*by, F.round(F.when(pairs > 0, F.col("won") / pairs), 9).alias("auc"))
 
 
 def prequential_majority(df: DataFrame, shard: str, order: str, label: str, classes: list[str]) -> DataFrame:

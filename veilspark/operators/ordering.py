@@ -48,11 +48,11 @@ def sorted_blocks(df: DataFrame, *order: str) -> DataFrame:
     return held.withColumns({"_block": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND((1 << 33) - 1) + 1}).drop("_id")
 
 
-def before_block(blocks: DataFrame, **sums: Column) -> DataFrame:
-    """(_block, sums over all earlier blocks): one row for each task that sorted, to be broadcast."""
-    totals = blocks.groupBy("_block").agg(*[v.alias(k) for k, v in sums.items()])
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(totals.select("_block", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums]))
+def before_block(blocks: DataFrame, *by: str, **sums: Column) -> DataFrame:
+    """(_block, sums over all earlier blocks): one row for each task that sorted, to be broadcast; ``by``: for each group in it, of its own rows."""
+    totals = blocks.groupBy("_block", *by).agg(*[v.alias(k) for k, v in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select("_block", *by, *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums]))
 
 
 def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:

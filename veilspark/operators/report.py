@@ -38,10 +38,16 @@ def classifier_report(original: DataFrame, anonymized: DataFrame, key: list[str]
     return _classifier_row(original, anonymized, both, positive, learner)
 
 
-def paired_report(pairs: DataFrame, positive: str, learner: str) -> DataFrame:
-    """The same where a row already has the predictions of both sides: actual, pred, score, shown_pred, shown_score."""
-    shown = pairs.select("actual", F.col("shown_score").alias("score"))
-    return _classifier_row(pairs, shown, pairs.select(F.col("pred").alias("a"), F.col("shown_pred").alias("b")), positive, learner)
+def paired_report(pairs: DataFrame, positive: str, learners: list[str]) -> DataFrame:
+    """The same for many learners at once, a row for each, where a row already has the predictions of both sides: learner, actual, pred_0,
+    score_0 (original), pred_1, score_1 (anonymized)."""
+    y = (F.col("actual") == positive).cast("int").alias("y")
+    sides = pairs.select("learner", y, F.explode(F.create_map(F.lit(0), F.col("score_0"), F.lit(1), F.col("score_1"))).alias("side", "score"))
+    at = lambda side, name: F.max(F.when(F.col("side") == side, F.col("auc"))).alias(name)
+    ranked = auc(sides, "score", "y", ["learner", "side"]).groupBy("learner").agg(at(0, "auc_original"), at(1, "auc_anonymized"))
+    agreed = kappa(pairs, "pred_0", "pred_1", ["learner"])
+    named = pairs.sparkSession.createDataFrame([(x,) for x in learners], "learner string")
+    return named.join(F.broadcast(ranked), "learner", "left").join(F.broadcast(agreed), "learner", "left")  # a row for each learner
 
 
 def _classifier_row(original: DataFrame, anonymized: DataFrame, both: DataFrame, positive: str, learner: str) -> DataFrame:

@@ -29,6 +29,7 @@ from ..streaming import detectors
 from ..streaming.batch import anonymize, anonymize_runs
 from ..streaming.buffered import knn_anonymize
 from ..streaming.learners import LEARNERS, Prequential
+from ..streaming.native import prequential
 from .grouping_sql import grouping_sql
 from .single_cluster import single_cluster
 
@@ -441,33 +442,21 @@ def parameter_sweep(spark, d):
     return reduce(DataFrame.unionByName, runs)
 
 
+#: Learners that go along a shard together: a bag costs as much as many single ones.
+TOGETHER = ("leveraging_bag", "adaptive_random_forest", ",".join(x for x in LEARNERS if x not in ("leveraging_bag", "adaptive_random_forest")))
+
+
 @query()
 def classifier_comparison(spark, d):
     """Every learner on the original and on the published prices of each shard, and the agreement of the two; the learners run side by side."""
     o = orders(spark, d).withColumn("shard", F.pmod("o_custkey", F.lit(8)).cast("string")).withColumns({"month": F.month("o_orderdate").cast("double"), "cust": F.col("o_custkey").cast("double"), "rank": F.col("o_rank").cast("double")})
     anon = anonymize(o, ORDERS, AnonymizerConfig(k=20, threshold=0.1), "shard").select(F.col("seq").alias("o_orderkey"), F.col("anon_o_totalprice").alias("shown"))
     own = o.select("shard", "o_orderkey", F.col("o_totalprice").alias("price"), "month", "cust", "rank", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
-    both = own.join(anon, "o_orderkey")
-
-    def step():
-        held = {}
-
-        def act(learner, price, shown, *rest):
-            if learner not in held:
-                held[learner] = Prequential(learner, "high"), Prequential(learner, "high")
-            one, two = held[learner]
-            return [(learner, *p, *q[1:]) for p, q in zip(one(price, *rest), two(shown, *rest))]
-
-        return act
-
-    each = both.withColumn("learner", F.explode(F.array(*[F.lit(x) for x in LEARNERS]))).withColumn("shard", F.concat_ws("|", "learner", "shard"))
-    kinds = "shard string, o_orderkey bigint, learner string, actual string, pred string, score double, shown_pred string, shown_score double"
-    guesses = materialize(C.fold_shards(each, "shard", "o_orderkey", ["learner", "price", "shown", "month", "cust", "rank", "y"], step, kinds, parts=O.few_parts(each)), "guesses")
-    rows = []
-    for x in LEARNERS:
-        row = R.paired_report(guesses.where(F.col("learner") == x), "high", x)
-        rows.append(row.select(F.lit(x).alias("learner"), *[F.col(f"{c}_{x}").alias(c) for c in ("auc_original", "auc_anonymized", "kappa")]))
-    return reduce(DataFrame.unionByName, rows)
+    both = materialize(own.join(anon, "o_orderkey"), "sides")
+    each = both.withColumn("learners", F.explode(F.array(*[F.lit(x) for x in TOGETHER]))).withColumn("shard", F.concat_ws("|", "learners", "shard"))
+    sides = [[price, "month", "cust", "rank"] for price in ("price", "shown")]
+    guesses = prequential(each, "shard", "o_orderkey", "learners", "y", sides, "high").drop("shard", "o_orderkey")
+    return R.paired_report(materialize(guesses, "guesses"), "high", list(LEARNERS))
 
 
 QUERIES["microagg_randomized"] = lambda spark, d: _kernel(AnonymizerConfig(k=20, threshold=0.15, publisher="random"), MIXED)(spark, d)
