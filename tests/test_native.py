@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veilspark.operators import agreement
@@ -68,13 +70,41 @@ def test_comparison_learns_in_the_jvm(spark, monkeypatch):
 
 def test_agreement_by_group(spark):
     r = random.Random(4)
-    rows = [(r.choice("xyz"), round(r.random(), 1), r.randrange(2), r.choice("ab"), r.choice("ab")) for _ in range(600)] + [("w", 0.5, 1, "a", "a")]
-    df = spark.createDataFrame(rows, "g string, s double, y int, a string, b string")
-    ranked = {x.g: x.auc for x in agreement.auc(df, "s", "y", ["g"]).collect()}
-    agreed = {x.g: x.kappa for x in agreement.kappa(df, "a", "b", ["g"]).collect()}
-    for g in "xyz":
+    rows = [(r.randrange(3), round(r.random(), 1), r.randrange(2), r.choice("ab"), r.choice("ab")) for _ in range(600)] + [(3, 0.5, 1, "a", "a")]
+    df = spark.createDataFrame(rows, "g int, s double, y int, a string, b string")
+    ranked = {x.g: x.auc for x in agreement.auc_by(df.withColumn("z", 1 - F.col("y")).repartition(5), "g", "s", "y", "z").collect()}
+    counts = df.groupBy("g", "a", "b").agg(F.count("*").alias("n"))
+    agreed = {x.g: x.kappa for x in agreement.kappa(counts.unionAll(counts), "a", "b", ["g"], "n").collect()}
+    for g in range(3):
         one = df.where(F.col("g") == g)
         p, q = ([x[1] for x in rows if x[0] == g and x[2] == v] for v in (1, 0))
         assert abs(ranked[g] - sum((a > b) + (a == b) / 2 for a in p for b in q) / len(p) / len(q)) < 1e-8
         assert agreement.auc(one, "s", "y").first()[0] == ranked[g] and agreement.kappa(one, "a", "b").first()[0] == agreed[g]
-    assert ranked["w"] is None and math.isnan(agreed["w"])  # a class alone has no rank
+    assert ranked[3] is None and math.isnan(agreed[3])  # a class alone has no rank
+
+
+def test_ranks_go_on_over_batches():
+    r = random.Random(5)
+    rows = sorted((round(r.random(), 1), r.randrange(4), r.randrange(4)) for _ in range(200)) + [(math.nan, 1, 2)] * 2
+    whole, parts = agreement.Ranks(), agreement.Ranks()
+    columns = lambda some: (np.array([x[0] for x in some], float), *(np.array([x[i] for x in some], np.int64) for i in (1, 2)))
+    whole.add(*columns(rows))
+    for at in range(0, len(rows), 7):
+        parts.add(*columns(rows[at : at + 7]))
+    won = sum(a[1] * b[2] * (1 if i // 2 else 0.5 if i else 0) for a in rows for b in rows for i in [2 * (a[0] > b[0] or a[0] != a[0] and b[0] == b[0]) or (a[0] == b[0] or a[0] != a[0] and b[0] != b[0])])
+    assert whole.sums() == parts.sums() == {"p": sum(x[1] for x in rows), "q": sum(x[2] for x in rows), "won": won}
+
+
+def test_sums_are_those_of_the_predictions(spark):
+    df = spark.createDataFrame(records(300), "shard string, k bigint, y string, a double, b double, c double, d double").withColumn("learners", F.lit("majority,sgd"))
+    given = (df, "shard", "k", "learners", "y", [["a", "b", "c", "d"], ["d", "c", "b", "a"]], "high")
+    each, sums = native.prequential(*given).collect(), native.prequential_sums(*given).collect()
+    scores, cells = Counter(), Counter()
+    for r in sums:
+        if r.n is None:
+            scores[r.learner, r.side, r.score, True] += r.p
+            scores[r.learner, r.side, r.score, False] += r.q
+        else:
+            cells[r.learner, r.side, r.a, r.b] += r.n
+    assert +scores == Counter((r.learner, i, r[f"score_{i}"], r.actual == "high") for r in each for i in (0, 1))
+    assert cells == Counter((r.learner, 1, r.pred_0, r.pred_1) for r in each)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnonymizerConfig
-from .agreement import auc, kappa
+from .agreement import auc, auc_by, kappa
 from .metrics import classification_penalty
 
 
@@ -38,16 +38,16 @@ def classifier_report(original: DataFrame, anonymized: DataFrame, key: list[str]
     return _classifier_row(original, anonymized, both, positive, learner)
 
 
-def paired_report(pairs: DataFrame, positive: str, learners: list[str]) -> DataFrame:
-    """The same for many learners at once, a row for each, where a row already has the predictions of both sides: learner, actual, pred_0,
-    score_0 (original), pred_1, score_1 (anonymized)."""
-    y = (F.col("actual") == positive).cast("int").alias("y")
-    sides = pairs.select("learner", y, F.explode(F.create_map(F.lit(0), F.col("score_0"), F.lit(1), F.col("score_1"))).alias("side", "score"))
-    at = lambda side, name: F.max(F.when(F.col("side") == side, F.col("auc"))).alias(name)
-    ranked = auc(sides, "score", "y", ["learner", "side"]).groupBy("learner").agg(at(0, "auc_original"), at(1, "auc_anonymized"))
-    agreed = kappa(pairs, "pred_0", "pred_1", ["learner"])
-    named = pairs.sparkSession.createDataFrame([(x,) for x in learners], "learner string")
-    return named.join(F.broadcast(ranked), "learner", "left").join(F.broadcast(agreed), "learner", "left")  # a row for each learner
+def paired_report(sums: DataFrame, learners: list[str]) -> DataFrame:
+    """The same for many learners at once, a row for each, from the sums over both sides' predictions (``streaming.native.prequential_sums``);
+    side 0 is the original."""
+    place = F.coalesce(*[F.when(F.col("learner") == x, F.lit(2 * i)) for i, x in enumerate(learners)]) + F.col("side")
+    ranked = F.broadcast(auc_by(sums.where("n IS NULL").withColumn("place", place), "place", "score", "p", "q"))  # two rows for each learner
+    one = lambda i, name: ranked.select(F.col("place").alias(f"place_{i}"), F.col("auc").alias(name))
+    agreed = F.broadcast(kappa(sums.where("n IS NOT NULL"), "a", "b", ["learner"], "n"))
+    named = sums.sparkSession.createDataFrame([(x, 2 * i, 2 * i + 1) for i, x in enumerate(learners)], "learner string, place_0 int, place_1 int")
+    rows = named.join(one(0, "auc_original"), "place_0", "left").join(one(1, "auc_anonymized"), "place_1", "left").join(agreed, "learner", "left")
+    return rows.select("learner", "auc_original", "auc_anonymized", "kappa")
 
 
 def _classifier_row(original: DataFrame, anonymized: DataFrame, both: DataFrame, positive: str, learner: str) -> DataFrame:

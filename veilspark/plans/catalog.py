@@ -29,7 +29,7 @@ from ..streaming import detectors
 from ..streaming.batch import anonymize, anonymize_runs
 from ..streaming.buffered import knn_anonymize
 from ..streaming.learners import LEARNERS, Prequential
-from ..streaming.native import prequential
+from ..streaming.native import prequential_sums
 from .grouping_sql import grouping_sql
 from .single_cluster import single_cluster
 
@@ -455,8 +455,8 @@ def classifier_comparison(spark, d):
     both = materialize(own.join(anon, "o_orderkey"), "sides")
     each = both.withColumn("learners", F.explode(F.array(*[F.lit(x) for x in TOGETHER]))).withColumn("shard", F.concat_ws("|", "learners", "shard"))
     sides = [[price, "month", "cust", "rank"] for price in ("price", "shown")]
-    guesses = prequential(each, "shard", "o_orderkey", "learners", "y", sides, "high").drop("shard", "o_orderkey")
-    return R.paired_report(materialize(guesses, "guesses"), "high", list(LEARNERS))
+    sums = prequential_sums(each, "shard", "o_orderkey", "learners", "y", sides, "high")
+    return R.paired_report(materialize(sums, "sums"), list(LEARNERS))
 
 
 QUERIES["microagg_randomized"] = lambda spark, d: _kernel(AnonymizerConfig(k=20, threshold=0.15, publisher="random"), MIXED)(spark, d)

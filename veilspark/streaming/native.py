@@ -39,19 +39,25 @@ def prequential(df: DataFrame, shard: str, order: str, learners: str, label: str
     """Test-then-train of the learners that the column ``learners`` names (with commas) on each side's inputs, along each shard: (shard,
     order, learner, actual, pred_0, score_0, pred_1, ...). A shard names the same learners in all its rows. Rows of a shard arrive in order, so a
     task holds a shard's models and one row. Reads df twice, so it should be a table."""
-    spark, width = df.sparkSession, len(sides[0])
-    inputs = [F.col(c).cast("double").alias(f"_{i}_{j}") for i, side in enumerate(sides) for j, c in enumerate(side)]
-    rows = dealt(df.select(F.col(shard).cast("string").alias(shard), F.col(order).cast("bigint").alias(order), learners, F.col(label).alias("actual"), *inputs), shard, order)
     kinds = f"`{shard}` string, `{order}` bigint, learner string, actual string" + "".join(f", pred_{i} string, score_{i} double" for i in range(len(sides)))
-    jvm = spark.sparkContext._jvm
-    makers = learners_class(spark).getConstructors()
-    step = makers[0].newInstance(_objects(spark, [len(sides), width, positive]))
-    row = jvm.org.apache.spark.sql.Encoders.row(jvm.org.apache.spark.sql.types.StructType.fromDDL(kinds))
-    return DataFrame(rows._jdf.mapPartitions(step, row), spark)
+    return _folded(df, shard, order, learners, label, sides, positive, False, kinds)
+
 
+def prequential_sums(df: DataFrame, shard: str, order: str, learners: str, label: str, sides: list[list[str]], positive: str) -> DataFrame:
+    """Of the same predictions what ranks and agreement need: (learner, side, score, p, q), the rows of the positive class and the others, where a
+    score may stand more than once; and (learner, side, a, b, n), how often side 0 said a and this side b. The other columns are null."""
+    kinds = "learner string, side int, score double, p bigint, q bigint, a string, b string, n bigint"
+    return _folded(df, shard, order, learners, label, sides, positive, True, kinds)
 
-def _objects(spark: SparkSession, values: list):
-    out = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Object, len(values))
+
+def _folded(df: DataFrame, shard: str, order: str, learners: str, label: str, sides: list[list[str]], positive: str, sums: bool, kinds: str) -> DataFrame:
+    spark = df.sparkSession
+    inputs = [F.col(c).cast("double").alias(f"_{i}_{j}") for i, side in enumerate(sides) for j, c in enumerate(side)]
+    rows = dealt(df.select(F.col(shard).cast("string").alias(shard), F.col(order).cast("bigint").alias(order), learners, F.col(label).alias("actual"), *inputs), shard, order)
+    jvm, values = spark.sparkContext._jvm, (len(sides), len(sides[0]), positive, sums)
+    given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, len(values))
     for i, v in enumerate(values):
-        out[i] = v
-    return out
+        given[i] = v
+    step = learners_class(spark).getConstructors()[0].newInstance(given)
+    row = jvm.org.apache.spark.sql.Encoders.row(jvm.org.apache.spark.sql.types.StructType.fromDDL(kinds))
+    return DataFrame(rows._jdf.mapPartitions(step, row), spark)
