@@ -1,8 +1,9 @@
-"""The learners of ``learners.py`` inside the executors' JVM: ``Learners.java`` repeats them, some fifty times as fast. Spark's own compiler
-translates it once for each driver, and Spark brings the classes to the executors."""
+"""The learners of ``learners.py`` inside the executors' JVM: ``Learners.java`` repeats them for streams that are too long for an interpreter.
+Spark's own compiler translates it once for each driver, and Spark brings the classes to the executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -31,6 +32,7 @@ def learners_class(spark: SparkSession):
             for name, code in dict(compiler.getBytecodes()).items():
                 z.writestr(name.replace(".", "/") + ".class", bytes(code))
         spark.sparkContext._jsc.addJar(jar)
+        atexit.register(Path(jar).unlink, missing_ok=True)  # executors may ask for it as long as the driver lives
         _compiled[app] = compiler
     return _compiled[app].getClassLoader().loadClass("veilspark.Learners")
 
